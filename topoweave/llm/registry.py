@@ -1,7 +1,9 @@
 """All queries of this subpackage and their SQL."""
 
+from topoweave.llm import docpairs_queries as _p4
 from topoweave.llm import leakage_queries as _p7
+from topoweave.llm import reading_queries as _p8
 
-_PARTS = [_p7]
+_PARTS = [_p4, _p7, _p8]
 QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _PARTS for k, s in m.SQL.items()}
