@@ -34,7 +34,7 @@ from topoweave.operators.components import components
 from topoweave.plans.tables import keep
 
 TOKEN = re.compile(r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9]")
-DEPTHS = (1, 2, 4)
+DEPTHS = (2, 3, 5)
 FULL = 4_000
 RECALL = 0.9999
 LEAF = 8
@@ -87,8 +87,8 @@ def _keys(values: np.ndarray, offsets: np.ndarray, depth: int, trees: int) -> np
     return out
 
 
-def _signatures(width: int, min_tokens: int, depth: int, trees: int, entries: bool):
-    """Maps (id, text) to a row per record, with the hash of its set, or to a row per record and upper node."""
+def _signatures(width: int, min_tokens: int, depth: int, trees: int):
+    """Maps (id, text) to a row per record: hash and size of its set, bitmap, and its upper node in each tree."""
 
     def run(batches):
         for batch in batches:
@@ -97,22 +97,21 @@ def _signatures(width: int, min_tokens: int, depth: int, trees: int, entries: bo
                 rows, values, offsets = runs_of(part.column(1).to_pylist(), width, min_tokens)
                 if not len(rows):
                     continue
-                ids = part.column(0).take(pa.array(rows))
-                if not entries:
-                    with np.errstate(over="ignore"):
-                        h = np.add.reduceat(mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(np.diff(offsets).astype(np.int32))], ["id", "h", "n"])
-                    continue
                 maps, doubles = bitmaps(values, offsets, WORDS)
-                keys = _keys(values, offsets, depth, trees)
-                at = pa.array(np.tile(np.arange(len(rows)), trees))
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WORDS * 8), len(rows), [None, pa.py_buffer(np.ascontiguousarray(maps).tobytes())]).cast(pa.binary())
-                columns = [pa.array(keys.reshape(-1).view(np.int64)), ids.take(at), pa.array(np.diff(offsets).astype(np.int32)).take(at), pa.array(doubles.astype(np.int32)).take(at), raw.take(at)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "id", "n", "doubles", "bits"])
+                keys = np.ascontiguousarray(_keys(values, offsets, depth, trees).T).reshape(-1).view(np.int64)
+                nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * trees), pa.array(keys))
+                bits = pa.array([m.tobytes() for m in maps], pa.binary())
+                columns = [part.column(0).take(pa.array(rows)), pa.array(_set_hash(values, offsets)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(doubles.astype(np.int32)), bits, nodes]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n", "doubles", "bits", "nodes"])
 
     return run
 
 
+def _set_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1]).view(np.int64)
+
+
 def _within(first: np.ndarray, count: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """All i <= j (or i < j without ``own``) of each span first .. first + count."""
     i = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -213,8 +212,9 @@ def _sets(width: int, min_tokens: int):
             for a in range(0, batch.num_rows, 2_000):
                 part = batch.slice(a, 2_000)
                 rows, values, offsets = runs_of(part.column(1).to_pylist(), width, min_tokens)
-                runs = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), runs], ["id", "runs"])
+                if len(rows):
+                    runs = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(_set_hash(values, offsets)), runs], ["id", "h", "runs"])
 
     return run
 
@@ -235,39 +235,55 @@ def _alike(threshold: float):
     return run
 
 
-def alike_pairs(texts: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int) -> DataFrame:
-    """Verified pairs (a, b) of class heads; ``texts``: (id, text), ``classes``: (id, class, ...)."""
+def _signed(texts: DataFrame, width: int, min_tokens: int, depth: int, threshold: float) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
-    heads = texts.join(classes.where("id = class").select("id"), "id", "left_semi")
-    found, todo = None, heads
+    schema = f"id {kind}, h bigint, n int, doubles int, bits binary, nodes array<bigint>"
+    return keep(texts.mapInArrow(_signatures(width, min_tokens, depth, trees_for(depth, threshold, RECALL)), schema), "signatures")[0]
+
+
+def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int) -> DataFrame:
+    """Verified pairs (a, b) of class heads; ``texts``: (id, text), ``signed``: their rows of the first depth, ``classes``: (id, h, class)."""
+    kind = texts.schema["id"].dataType.simpleString()
+    # The rows that are not the head of their class; few, so that leaving them out moves no signature.
+    others, _ = keep(classes.where("id != class").select("id"), "followers")
+    found = None
     for k, depth in enumerate(DEPTHS):
         last = k == len(DEPTHS) - 1
-        entries = todo.mapInArrow(_signatures(width, min_tokens, depth, trees_for(depth, threshold, RECALL), True), f"node bigint, id {kind}, n int, doubles int, bits binary")
-        entries, _ = keep(entries.withColumn("held", F.count("*").over(Window.partitionBy("node"))).where("held > 1"), "signatures")
-        here = entries if last else entries.where(f"held <= {FULL}")
-        near = here.drop("held").repartition("node").sortWithinPartitions("node", "n").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
+        heads = signed.join(others, "id", "left_anti")
+        # Only node and id are shuffled to see which records share a node with others; bitmaps follow for those.
+        places = heads.select("id", F.explode("nodes").alias("node")).withColumn("held", F.count("*").over(Window.partitionBy("node"))).where("held > 1")
+        places, _ = keep(places, "shared-nodes")
+        here = places if last else places.where(f"held <= {FULL}")
+        rows = here.select("node", "id").join(signed.select("id", "n", "doubles", "bits"), "id").select("node", "id", "n", "doubles", "bits")
+        near = rows.repartition("node").sortWithinPartitions("node", "n").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = near if found is None else found.union(near)
         if last:
             break
-        deeper, _ = keep(entries.where(f"held > {FULL}").select("id").distinct(), "deeper")
+        deeper, _ = keep(places.where(f"held > {FULL}").select("id").distinct(), "deeper")
         if deeper.isEmpty():
             break
-        todo = heads.join(deeper, "id", "left_semi")
+        signed = _signed(texts.join(deeper, "id", "left_semi"), width, min_tokens, DEPTHS[k + 1], threshold)
+        signed = signed.join(classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"])
     found, _ = keep(found.distinct(), "alike-candidates")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    runs, _ = keep(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width, min_tokens), f"id {kind}, runs array<bigint>"), "alike-runs")
+    wanted, _ = keep(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "alike-ids")
+    runs = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width, min_tokens), f"id {kind}, h bigint, runs array<bigint>")
+    runs, _ = keep(runs.join(classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "runs"), "alike-runs")
     x = found.join(runs.toDF("a", "ra"), "a").join(runs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
     return x.mapInArrow(_alike(threshold), f"a {kind}, b {kind}")
 
 
 def near_copies(records: DataFrame, record_id: str, text: str, threshold: float = 0.6, width: int = 3, min_tokens: int = 40) -> DataFrame:
     """(id, class, group) of every record long enough: class of equal sets, group of alike records; both named by their least id."""
-    texts = records.select(F.col(record_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").dropDuplicates(["id"])
-    kind = texts.schema["id"].dataType.simpleString()
-    sets, _ = keep(texts.mapInArrow(_signatures(width, min_tokens, 0, 0, False), f"id {kind}, h bigint, n int"), "text-sets")
-    least = sets.groupBy("h", "n").agg(F.min("id").alias("class"))
-    classes, _ = keep(sets.join(least, ["h", "n"]).select("id", "class"), "text-classes")
-    links = alike_pairs(texts, classes, threshold, width, min_tokens)
+    texts = records.select(F.col(record_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    signed = _signed(texts, width, min_tokens, DEPTHS[0], threshold)
+    sets = signed.groupBy("id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
+    least = sets.groupBy("h").agg(F.min("id").alias("class"))
+    classes, _ = keep(sets.join(least, "h").select("id", "h", "class", "rows"), "text-classes")
+    repeated, _ = keep(classes.where("rows > 1").select("id", "h"), "repeated-ids")
+    if not repeated.isEmpty():
+        once = signed.join(repeated, ["id", "h"], "left_semi").dropDuplicates(["id"])
+        signed, _ = keep(signed.join(repeated, "id", "left_anti").unionByName(once), "signatures")
+    links = alike_pairs(texts, signed, classes, threshold, width, min_tokens)
     groups = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("group"))
     return classes.join(groups, "class", "left").select("id", "class", F.coalesce("group", "class").alias("group"))

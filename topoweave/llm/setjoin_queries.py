@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topoweave.llm.setjoin import member_pairs, similar_sets
-from topoweave.plans.tables import table
+from topoweave.plans.tables import keep, table
 
 FIELDS = ("callees", "callers", "reads", "writes")
 
 
 def current_fingerprints(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The row of greatest fp_id per node_id; rows without node_id each stand for themselves."""
+    """The row of greatest fp_id per node_id; rows without node_id each stand for themselves.
+
+    Found by leaving out the rows that a later one replaces: they are few and known as a table, whose size
+    lets Spark choose a join that does not move the wide rows, and a shuffle join where they are many.
+    """
     fp = table(spark, d, "fingerprints")
-    last = fp.groupBy(F.coalesce("node_id", F.concat(F.lit("\0"), F.col("fp_id").cast("string")))).agg(F.max("fp_id").alias("fp_id")).select("fp_id")
-    return fp.select("fp_id", *columns).join(last, "fp_id", "left_semi")
+    keys = fp.where("node_id is not null").select("node_id", "fp_id")
+    last = keys.groupBy("node_id").agg(F.max("fp_id").alias("last"))
+    replaced, _ = keep(keys.join(last, "node_id").where("fp_id < last").select("fp_id"), "replaced")
+    return fp.select("fp_id", *columns).join(replaced, "fp_id", "left_anti")
 
 
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
