@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["orphan_queries", "graph_queries", "flow_queries"]
+_MODULES = ["orphan_queries", "graph_queries", "flow_queries", "source_queries"]
 
 
 def _parts() -> list:

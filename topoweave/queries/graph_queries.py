@@ -12,11 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topoweave.functions.names import common_parts, jaccard, last_part, module_of_path, parent
+from topoweave.functions.names import common_parts, jaccard, last_part, module_of_path, parent, prefixes
 from topoweave.operators.graph import SHOWN, PropertyGraph, proposal
+from topoweave.operators.resolve import resolve_targets
+from topoweave.plans.ask import ask, banner
+from topoweave.plans.tables import table
 from topoweave.queries.graph_sql import NODE, sql
+from topoweave.sources.files import latest_files, snippets
 from topoweave.sources.tables import current_edges, current_graph, current_nodes
-from topoweave.plans.tables import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,8 +175,6 @@ def _(g, spark, d):
 
 @register("j6_resolve_edges", None)
 def _(g, spark, d):
-    from topoweave.operators.resolve import resolve_targets
-
     return resolve_targets(g.edges, g.nodes).select("source", "target", "edge_type", "resolved")
 
 
@@ -306,8 +307,6 @@ _LASTFILE = "lf AS (SELECT * FROM source_files WHERE file_id IN (SELECT arg_max(
 @register("s9_snippets", sql("""SELECT n.id, array_to_string(string_split(replace(f.content, chr(13) || chr(10), chr(10)), chr(10))[n.line_start:n.line_end], chr(10)) AS snippet
   FROM cn n JOIN lf f ON f.path = n.file_path WHERE n.symbol_type IN ('function', 'method') AND NOT n.is_proposed AND n.line_start >= 1 AND n.line_end >= n.line_start""", _LASTFILE))
 def _(g, spark, d):
-    from topoweave.sources.files import latest_files, snippets
-
     return snippets(g.nodes_by_type("function", "method"), latest_files(table(spark, d, "source_files")))
 
 
@@ -329,3 +328,48 @@ def _(g, spark, d):
 @register("e1_short_names", sql("SELECT id, string_split(id, '.')[-1] AS last, regexp_extract(id, '^(.*)[.][^.]*$', 1) AS parent, len(string_split(id, '.')) - 1 AS dots FROM cn"))
 def _(g, spark, d):
     return g.nodes.select("id", last_part(F.col("id")).alias("last"), parent(F.col("id")).alias("parent"), (F.size(F.split("id", r"\.")) - 1).alias("dots"))
+
+
+@register("y1_ask_callers", sql(f"SELECT {NODE} FROM cn WHERE id IN (SELECT source FROM calls WHERE target IN (SELECT id FROM hub))"))
+def _(g, spark, d):
+    return shown(ask(g, f"Callers of {hub(g)}"))
+
+
+@register("y1_ask_dead_methods", sql(f"SELECT {NODE} FROM cn WHERE is_dead AND symbol_type IN ('function', 'method') AND starts_with(qualified_name, (SELECT p FROM busy))"))
+def _(g, spark, d):
+    return shown(ask(g, f"dead functions in {busy(g)}"))
+
+
+@register("y1_ask_classes_in_scope", sql(f"SELECT {NODE} FROM cn WHERE symbol_type = 'class' AND starts_with(qualified_name, (SELECT p FROM busy))"))
+def _(g, spark, d):
+    return shown(ask(g, f"classes in {busy(g)}"))
+
+
+@register("y2_banner", sql("SELECT symbol_type, count(*) AS n FROM cn WHERE contains(lower(qualified_name), 'flush') GROUP BY 1"))
+def _(g, spark, d):
+    return banner(ask(g, "flush"))
+
+
+@register("j12_known_imports", sql("""SELECT source, target FROM ge WHERE edge_type = 'imports' AND (target IN (SELECT id FROM cn) OR EXISTS (SELECT 1 FROM cn WHERE starts_with(cn.id, ge.target || '.')))"""))
+def _(g, spark, d):
+    heads = g.nodes.select(F.explode(prefixes(F.col("id"))).alias("target")).distinct()
+    return g.edges_of_types("imports").join(heads, "target", "left_semi").select("source", "target")
+
+
+@register("f15_slim_fingerprints", "SELECT fp_id, node_id, name, symbol_type, arg_count, line_count, max_nesting_depth, has_loops, coalesce(len(callees), 0) AS n_callees FROM fingerprints")
+def _(g, spark, d):
+    fp = table(spark, d, "fingerprints").drop("ast_tree", "minhash", "ast_node_counts", "source_snippet")
+    n = F.when(F.col("callees").isNull(), F.lit(0)).otherwise(F.size("callees")).cast("bigint")
+    return fp.select("fp_id", "node_id", "name", "symbol_type", "arg_count", "line_count", "max_nesting_depth", "has_loops", n.alias("n_callees"))
+
+
+@register("e12_call_read_overlap", """SELECT fp_id, round(len(list_intersect(c, r)) / nullif(len(list_distinct(list_concat(c, r))), 0), 9) AS overlap FROM (
+  SELECT fp_id, list_distinct(list_filter(coalesce(reads, []), lambda v: v IS NOT NULL)) AS c, list_distinct(list_filter(coalesce(writes, []), lambda v: v IS NOT NULL)) AS r FROM fingerprints) x""")
+def _(g, spark, d):
+    return table(spark, d, "fingerprints").select("fp_id", F.round(jaccard(F.col("reads"), F.col("writes")), 9).alias("overlap"))
+
+
+@register("u3_raw_only_edges", """SELECT DISTINCT source, target FROM (SELECT trim(source, chr(32) || chr(9)) AS source, trim(target, chr(32) || chr(9)) AS target FROM edges) e
+  WHERE source <> '' AND target <> '' AND source NOT IN (SELECT id FROM nodes WHERE deleted_at IS NULL) AND source NOT IN (SELECT id FROM shared_nodes WHERE deleted_at IS NULL)""")
+def _(g, spark, d):
+    return current_edges(spark, d).join(current_nodes(spark, d).select(F.col("id").alias("source")), "source", "left_anti").select("source", "target").distinct()
