@@ -26,10 +26,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoweave.llm.setjoin import bitmaps, lists, minhashes, mixed, trees_for
+from topoweave.llm.setjoin import bitmaps, lists, minhashes, mixed, shared_nodes, trees_for
 from topoweave.operators.components import components
 from topoweave.plans.tables import keep
 
@@ -241,6 +241,15 @@ def _signed(texts: DataFrame, width: int, min_tokens: int, depth: int, threshold
     return keep(texts.mapInArrow(_signatures(width, min_tokens, depth, trees_for(depth, threshold, RECALL)), schema), "signatures")[0]
 
 
+def _in_parts(places: DataFrame) -> DataFrame:
+    """The deepest nodes, overfull ones cut into parts of about FULL / 2 records of which every two meet in a node of their own."""
+    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("held") / FULL)).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    split = places.where(f"held > {FULL}").select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    split = split.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
+    return places.where(f"held <= {FULL}").select("node", "id").unionByName(split)
+
+
 def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int) -> DataFrame:
     """Verified pairs (a, b) of class heads; ``texts``: (id, text), ``signed``: their rows of the first depth, ``classes``: (id, h, class)."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -251,9 +260,8 @@ def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, thresho
         last = k == len(DEPTHS) - 1
         heads = signed.join(others, "id", "left_anti")
         # Only node and id are shuffled to see which records share a node with others; bitmaps follow for those.
-        places = heads.select("id", F.explode("nodes").alias("node")).withColumn("held", F.count("*").over(Window.partitionBy("node"))).where("held > 1")
-        places, _ = keep(places, "shared-nodes")
-        here = places if last else places.where(f"held <= {FULL}")
+        places = shared_nodes(heads)
+        here = _in_parts(places) if last else places.where(f"held <= {FULL}")
         rows = here.select("node", "id").join(signed.select("id", "n", "doubles", "bits"), "id").select("node", "id", "n", "doubles", "bits")
         near = rows.repartition("node").sortWithinPartitions("node", "n").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

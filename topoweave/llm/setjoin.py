@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topoweave.plans.tables import keep
@@ -108,30 +108,40 @@ def _sketcher(depth: int, trees: int):
                     for h in minhashes(values, offsets[:-1], range(seed, seed + depth)):
                         prefix[t] = mixed(prefix[t] * np.uint64(0x9E3779B97F4A7C15) + h)
                     prefix[t] += np.uint64(t)
-            at = np.tile(np.arange(n), trees)
-            columns = [pa.array(prefix.reshape(-1).view(np.int64)), batch.column("id").take(pa.array(at)), pa.array(np.diff(offsets).astype(np.int32)[at]), pa.array(doubles.astype(np.int32)[at])]
-            columns += [pa.array(np.ascontiguousarray(maps[:, k]).view(np.int64)[at]) for k in range(WORDS)]
-            whole = pa.RecordBatch.from_arrays(columns, ["prefix", "id", "n", "doubles", *[f"w{k}" for k in range(WORDS)]])
-            for a in range(0, whole.num_rows, 50_000):
-                yield whole.slice(a, 50_000)
+            flat = np.ascontiguousarray(prefix.T).reshape(-1).view(np.int64)
+            nodes = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(flat))
+            columns = [batch.column("id"), pa.array(np.diff(offsets).astype(np.int32)), pa.array(doubles.astype(np.int32)), *[pa.array(np.ascontiguousarray(maps[:, k]).view(np.int64)) for k in range(WORDS)], nodes]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "doubles", *[f"w{k}" for k in range(WORDS)], "nodes"])
 
     return run
 
 
+def shared_nodes(rows: DataFrame) -> DataFrame:
+    """(node, id, held) of every entry of the list ``nodes`` that ``held`` > 1 rows have.
+
+    Sizes are counted with a partial sum before the shuffle and joined back, so a node of very many rows is
+    never gathered in one task; only node and id are moved.
+    """
+    places = rows.select(F.explode("nodes").alias("node"), "id")
+    sizes = places.groupBy("node").agg(F.count("*").alias("held")).where("held > 1")
+    return keep(places.join(sizes, "node"), "shared-nodes")[0]
+
+
 def _neighbours(sets: DataFrame, depth: int, threshold: float, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs of the forest of one depth, and the ids that must be searched deeper."""
     kind = sets.schema["id"].dataType.simpleString()
-    schema = f"prefix bigint, id {kind}, n int, doubles int, " + ", ".join(f"w{k} bigint" for k in range(WORDS))
-    entries = sets.select("id", "members").mapInArrow(_sketcher(depth, trees_for(depth, threshold)), schema)
-    held = F.count("*").over(Window.partitionBy("prefix"))
-    entries, _ = keep(entries.withColumn("held", held).where("held > 1"), "sketches")
-    deeper = None if last else entries.where(f"held > {FULL}").select("id").distinct()
-    own = entries if last else entries.where(f"held <= {FULL}")
+    words = [f"w{k}" for k in range(WORDS)]
+    schema = f"id {kind}, n int, doubles int, " + ", ".join(f"{w} bigint" for w in words) + ", nodes array<bigint>"
+    rows, _ = keep(sets.select("id", "members").mapInArrow(_sketcher(depth, trees_for(depth, threshold)), schema), "sketches")
+    places = shared_nodes(rows)
+    deeper = None if last else places.where(f"held > {FULL}").select("id").distinct()
+    here = places if last else places.where(f"held <= {FULL}")
+    own = here.select("node", "id").join(rows.select("id", "n", "doubles", *words), "id")
     a, b = own.alias("a"), own.alias("b")
-    common = sum((F.bit_count(F.col(f"a.w{k}").bitwiseAND(F.col(f"b.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseAND(F.col("b.w0"))))
+    common = sum((F.bit_count(F.col(f"a.{w}").bitwiseAND(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col("a.w0").bitwiseAND(F.col("b.w0"))))
     most = common + F.least("a.doubles", "b.doubles")
     total = F.col("a.n") + F.col("b.n")
-    near = (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9)) & (most >= total * (threshold / (1 + threshold) - 1e-9))
+    near = (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-9)) & (most >= total * (threshold / (1 + threshold) - 1e-9))
     return a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), deeper
 
 
