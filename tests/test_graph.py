@@ -4,6 +4,7 @@ from itertools import permutations
 
 import pytest
 
+from tests_helpers import edges, ids, nodes
 from topoweave.operators.centrality import betweenness, pagerank
 from topoweave.operators.components import components
 from topoweave.operators.cycles import cycles, is_cyclic, layers, strong_components
@@ -12,27 +13,6 @@ from topoweave.operators.graph import PropertyGraph, proposal
 from topoweave.operators.resolve import resolve_targets, structural_types
 from topoweave.operators.traverse import reach, shortest_path, simple_paths, trace_function, trace_variable
 
-NODE = "id string, name string, qualified_name string, symbol_type string, file_path string, line_start int, line_end int, docstring string, signature string, is_dead boolean, is_proposed boolean, metadata string"
-EDGE = "source string, target string, edge_type string, is_dead boolean, is_proposed boolean, line int, metadata string, seq bigint"
-
-
-def nodes(spark, **kinds):
-    return spark.createDataFrame([(i, i.split(".")[-1], i, k, None, 1, 2, None, None, False, False, None) for k, ids in kinds.items() for i in ids.split()], NODE)
-
-
-def edges(spark, text, default="calls"):
-    rows = []
-    for k, part in enumerate(text.split()):
-        ends, _, kind = part.partition(":")
-        s, t = ends.split(">")
-        rows.append((s, t, kind or default, False, False, k + 1, None, k))
-    return spark.createDataFrame(rows, EDGE)
-
-
-def ids(df, c="id"):
-    return sorted(r[c] for r in df.collect())
-
-
 def one(spark, *x):
     return spark.createDataFrame([(v,) for v in x], "id string")
 

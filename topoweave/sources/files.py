@@ -12,7 +12,10 @@ SKIPPED = [".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".git"
 
 
 def read_project(spark: SparkSession, root: str) -> DataFrame:
-    """path, module, content, content_hash, mtime of the .py files below a folder, skipped folders left out by their path below it."""
+    """path, module, content, content_hash, mtime of the .py files below a folder, skipped folders left out by their path below it.
+
+    Bytes that are no UTF-8 are replaced; files without any byte give no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
     full = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     rel = F.ltrim(F.substring(full, len(root.rstrip("/")) + 1, 1 << 20), F.lit("/"))
