@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,26 @@ SKIPPED = [".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".git"
 def read_project(spark: SparkSession, root: str) -> DataFrame:
     """path, module, content, content_hash, mtime of the .py files below a folder, skipped folders left out by their path below it.
 
-    Bytes that are no UTF-8 are replaced; files without any byte give no row.
+    Paths are listed once, texts are read by the tasks (Spark's own file sources pass over names that begin
+    with an underscore, and so over every package's own file).  Bytes that are no UTF-8 are replaced.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    full = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    rel = F.ltrim(F.substring(full, len(root.rstrip("/")) + 1, 1 << 20), F.lit("/"))
-    text = F.decode("content", "UTF-8")
-    rows = files.select(rel.alias("path"), text.alias("content"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"))
-    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED])))
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    found = []
+    for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
+        rel = f.path[len(base.rstrip("/")) + 1 :]
+        if f.type == pafs.FileType.File and rel.endswith(".py") and not set(rel.split("/")) & set(SKIPPED):
+            found.append((rel, f.mtime.replace(tzinfo=None) if f.mtime else None))
+    paths = spark.createDataFrame(found, "path string, mtime timestamp_ntz").repartition(max(1, min(len(found), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+    def read(batches):
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with fs.open_input_stream(f"{base.rstrip('/')}/{row['path']}") as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pylist([row | {"content": text}], pa.schema([*batch.schema, ("content", pa.string())]))
+
+    rows = paths.mapInArrow(read, "path string, mtime timestamp_ntz, content string")
     return rows.select("path", module_of_path(F.col("path")).alias("module"), "content", source_hash(F.col("content")).alias("content_hash"), "mtime")
 
 
