@@ -22,8 +22,11 @@ def cyclic_core(steps: DataFrame) -> DataFrame:
     steps, _ = keep(steps, "core")
     n = steps.count()
     while n:
-        both = steps.select(F.col("u").alias("id")).distinct().join(steps.select(F.col("v").alias("id")).distinct(), "id", "left_semi")
-        steps, _ = keep(steps.join(both.toDF("u"), "u", "left_semi").join(both.toDF("v"), "v", "left_semi"), "core")
+        peeled = steps
+        for _ in range(2):
+            both = peeled.select(F.col("u").alias("id")).distinct().join(peeled.select(F.col("v").alias("id")).distinct(), "id", "left_semi")
+            peeled = peeled.join(both.toDF("u"), "u", "left_semi").join(both.toDF("v"), "v", "left_semi")
+        steps, _ = keep(peeled, "core")
         n, before = steps.count(), n
         if n == before:
             break
@@ -49,13 +52,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return sized.join(big, "colour").select("id", "component")
 
 
+#: Steps that a colour is passed on for each table that is written.
+HOPS = 3
+
+
 def _coloured(steps: DataFrame) -> DataFrame:
     """(id, colour): the least id from which each vertex can be reached."""
-    ids = steps.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    colour, _ = keep(ids.withColumn("colour", F.col("id")), "colour")
+    colour = steps.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("colour", F.col("id"))
+    colour, _ = keep(colour, "colour")
     changed = colour
     while not changed.isEmpty():
-        offer = steps.join(changed.select(F.col("id").alias("u"), F.col("colour").alias("c")), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("c"))
+        # What changed is passed on over a few steps at once, each vertex keeping the least colour that comes to it.
+        wave = [changed.select("id", "colour")]
+        for _ in range(HOPS):
+            wave.append(steps.join(wave[-1].toDF("u", "c"), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("colour")))
+        offer = reduce(DataFrame.union, wave[1:]).groupBy("id").agg(F.min("colour").alias("c"))
         both = colour.join(offer, "id", "left").select("id", "colour", F.least("colour", "c").alias("next"))
         both, _ = keep(both, "colour")
         changed = both.where("next < colour").select("id", F.col("next").alias("colour"))
