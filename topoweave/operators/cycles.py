@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoweave.operators.traverse import directed, distances
+from topoweave.operators.traverse import closure, directed
 from topoweave.plans.tables import keep
 
 
@@ -42,7 +42,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         c = steps.join(colour.toDF("u", "cu"), "u").join(colour.toDF("v", "cv"), "v").where("cu = cv").select("u", "v", "cu")
         roots = colour.where("id = colour").select("id")
         back = c.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        members, _ = keep(distances(back, roots).select("id").join(colour, "id"), "members")
+        members, _ = keep(closure(back, roots).join(colour, "id"), "members")
         done.append(members)
         steps = cyclic_core(c.select("u", "v").join(members.select(F.col("id").alias("u")), "u", "left_anti").join(members.select(F.col("id").alias("v")), "v", "left_anti"))
     if not done:

@@ -42,8 +42,39 @@ def distances(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     return reduce(DataFrame.union, levels)
 
 
+#: Steps taken for each table that is written where depths are not wanted.
+HOPS = 4
+
+
+def closure(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id) of everything reached from ``seeds``, the seeds included.
+
+    Several steps are taken at once; only what the last of them met first goes on, as the vertices of the steps
+    before it were walked on from already.
+    """
+    seen, _ = keep(seeds.select("id").distinct(), "reached")
+    frontier, parts = seen, [seen]
+    while not frontier.isEmpty():
+        wave = [frontier]
+        for _ in range(HOPS):
+            step = steps.join(wave[-1].select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+            wave.append(step.join(seen, "id", "left_anti"))
+        numbered = reduce(DataFrame.union, [w.withColumn("hop", F.lit(k)) for k, w in enumerate(wave[1:])])
+        new, _ = keep(numbered.groupBy("id").agg(F.min("hop").alias("hop")), "reached")
+        frontier = new.where(F.col("hop") == HOPS - 1).select("id")
+        parts.append(new.select("id"))
+        if len(parts) > 8:  # few, longer tables instead of many short ones
+            parts = [keep(reduce(DataFrame.union, parts).coalesce(8), "reached")[0]]
+        seen = reduce(DataFrame.union, parts)
+    return seen
+
+
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_depth: int | None = None) -> DataFrame:
-    return distances(directed(edges, direction), seeds, max_depth)
+    """(id) reached along the edges; (id, depth) where a depth is given."""
+    steps = directed(edges, direction)
+    if max_depth is not None:
+        return distances(steps, seeds, max_depth)
+    return closure(keep(steps, "steps")[0], seeds)
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
