@@ -18,7 +18,7 @@ from topoweave.operators.resolve import resolve_targets
 from topoweave.plans.ask import ask, banner
 from topoweave.plans.tables import table
 from topoweave.queries.graph_sql import NODE, sql
-from topoweave.sources.files import latest_files, snippets
+from topoweave.sources.files import SKIPPED, latest_files, snippets
 from topoweave.sources.tables import current_edges, current_graph, current_nodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,9 +290,13 @@ def _(g, spark, d):
     return table(spark, d, "source_files").select("file_id", module_of_path(F.col("path")).alias("module_id"))
 
 
-@register("s2_pruned_sources", """SELECT file_id, path FROM source_files WHERE NOT list_has_any(string_split(path, '/'), ['.venv', 'venv', 'node_modules', '.git', 'build', 'dist', '__pycache__', 'store'])""")
+_SKIP = ", ".join(f"'{x}'" for x in [*SKIPPED, "store"])
+
+
+@register("s2_pruned_sources", f"SELECT file_id, path FROM source_files WHERE NOT list_has_any(string_split(path, '/'), [{_SKIP}])")
 def _(g, spark, d):
-    skip = F.array(*[F.lit(x) for x in (".venv", "venv", "node_modules", ".git", "build", "dist", "__pycache__", "store")])
+    """Sources outside skipped folders; ``store``, which the tables have, stands for a folder a project adds to the list."""
+    skip = F.array(*[F.lit(x) for x in [*SKIPPED, "store"]])
     return table(spark, d, "source_files").where(~F.arrays_overlap(F.split("path", "/"), skip)).select("file_id", "path")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topoweave.functions.names import module_of_path
 
 #: Folders whose files are no sources of a project (fixed values).
-SKIPPED = [".venv", "venv", "env", ".env", "node_modules", "__pycache__", ".git", ".hg", ".svn", ".tox", ".mypy_cache", ".pytest_cache", "build", "dist", "site-packages", ".eggs"]
+SKIPPED = [".venv", "venv", "env", ".env", "node_modules", ".git", "__pycache__", ".tox", ".nox", ".eggs", ".mypy_cache", ".ruff_cache", ".pytest_cache", "build", "dist", ".build"]
 
 
 def read_project(spark: SparkSession, root: str) -> DataFrame:
