@@ -10,7 +10,7 @@ from topoweave.operators.components import components
 from topoweave.operators.cycles import cycles, is_cyclic, layers, strong_components
 from topoweave.operators.deadcode import dead_imports, dead_returns, dead_symbols, live
 from topoweave.operators.graph import SHOWN, induced
-from topoweave.operators.similarity import bands, candidates, count_cosine, duplicate_groups, neighbourhood, neighbourhood_kernel, scored
+from topoweave.operators.similarity import bands, candidates, classes, count_cosine, duplicate_groups, neighbourhood, neighbourhood_kernel, record_pairs, scored
 from topoweave.operators.traverse import distances, directed, reach, shortest_path, simple_paths, trace_function, trace_variable
 from topoweave.plans.tables import keep, table
 from topoweave.queries import graph_queries as gq
@@ -274,8 +274,10 @@ def _(spark, d):
 
 @register("m10_candidate_scores", graph=False)
 def _(spark, d):
+    """Every pair of records of one band with a score of at least 0.6."""
     fp = _fingerprints(spark, d)
-    return scored(candidates(fp), fp, least=0.6)
+    same, _ = keep(classes(fp), "classes")
+    return record_pairs(keep(scored(candidates(fp, same=same), fp, least=0.6), "similar-pairs")[0], same)
 
 
 @register("m11_duplicate_groups", graph=False)
