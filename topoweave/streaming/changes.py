@@ -27,14 +27,15 @@ class Versions:
     def __init__(self, spark: SparkSession):
         self.spark, self.state = spark, None
 
-    def upsert(self, batch: DataFrame, key: str, order: list[str]) -> None:
+    def upsert(self, batch: DataFrame, key: str | list[str], order: list[str]) -> None:
         """Keep per key the row of greatest ``order``, of the state and the batch together."""
         rows = batch if self.state is None else self.state.unionByName(batch)
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("r")).select(key, "r.*")
+        keys = [key] if isinstance(key, str) else key
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("r")).select(*keys, "r.*")
         self.state, _ = keep(best.select(*rows.columns), "version")
 
 
-def latest_by_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+def latest_by_stream(stream: DataFrame, key: str | list[str], order: list[str], mode: str = "append") -> DataFrame:
     """Run a stream of changes to its end; the latest row of each key.
 
     Only the state's version written last is read on, so a batch that is repeated after a failure gives the same table.
@@ -42,20 +43,28 @@ def latest_by_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame
     spark = stream.sparkSession
     versions = Versions(spark)
     q = (
-        stream.writeStream.foreachBatch(lambda b, _: versions.upsert(b, key, order))
+        stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: versions.upsert(b, key, order))
         .option("checkpointLocation", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     )
     q.awaitTermination()
     return versions.state if versions.state is not None else spark.createDataFrame([], stream.schema)
 
 
-def windowed_counts(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
-    """Counts per tumbling window of event time, rows later than ``late`` being left out; works on streams and tables."""
+def windowed_counts(events: DataFrame, time: str, width: str, late: str | None, *by: str) -> DataFrame:
+    """Counts per tumbling window of event time, rows of a stream later than ``late`` being left out; works on streams and tables."""
     t = events.withColumn("_t", F.col(time).cast("timestamp"))
-    t = t.withWatermark("_t", late) if events.isStreaming else t
+    t = t.withWatermark("_t", late) if events.isStreaming and late is not None else t
     return t.groupBy(F.window("_t", width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), *by, "n")
 
 
+def counts_by_stream(stream: DataFrame, time: str, width: str, *by: str) -> DataFrame:
+    """Run a stream of events to its end; the counts of :func:`windowed_counts`, no row being too late and no window left open.
+
+    A window's count only grows, so of its updates the greatest is the last.
+    """
+    return latest_by_stream(windowed_counts(stream, time, width, None, *by), ["start", *by], ["n"], "update")
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to its end into a table of the shared folder."""
     spark = stream.sparkSession
