@@ -303,15 +303,31 @@ def nearest_pairs(vectors: DataFrame, graph: DataFrame, owners: DataFrame, k: in
     Copies of one vector count each; of a class of copies only the k + 1 of least id can be among anyone's nearest.
     """
     near = graph.where(F.col("sim") >= least - 0.03).select("id", "nbr")
-    some = owners.withColumn("nth", F.row_number().over(Window.partitionBy("vertex").orderBy("id"))).where(F.col("nth") <= k + 1).select(F.col("vertex").alias("nbr_vertex"), F.col("id").alias("nbr"))
     several = owners.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select(F.col("vertex").alias("id"), F.col("vertex").alias("nbr"))
-    vertex_pairs = near.union(several).toDF("vertex", "nbr_vertex")
-    pairs = vertex_pairs.join(owners, "vertex").join(some, "nbr_vertex").where("id != nbr").select("id", "nbr")
+    return _nearest_rows(near.union(several).toDF("vertex", "nbr_vertex"), owners, owners, vectors, k, least)
+
+
+def _nearest_rows(vertex_pairs: DataFrame, asked: DataFrame, owners: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """(id, nbr, similarity, rank): the k nearest rows of every row of ``asked`` (id, vertex) among those of its vertex pairs."""
+    some = owners.withColumn("nth", F.row_number().over(Window.partitionBy("vertex").orderBy("id"))).where(F.col("nth") <= k + 1).select(F.col("vertex").alias("nbr_vertex"), F.col("id").alias("nbr"))
+    pairs = vertex_pairs.join(asked, "vertex").join(some, "nbr_vertex").where("id != nbr").select("id", "nbr")
     ranked = exact(pairs, vectors).where(F.col("similarity") >= least)
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "nbr")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def search_rows(queries: DataFrame, vectors: DataFrame, codes: DataFrame, owners: DataFrame, graph: DataFrame, leaves: DataFrame, k: int = 5) -> DataFrame:
+    """(query, id, similarity) of the k nearest other rows of every row of ``queries`` (column id), by one greedy search per distinct vector."""
+    shared = codes.sparkSession.sparkContext.broadcast(fit_trees(codes, codes.count()))
+    asked, _ = keep(owners.join(queries.select("id"), "id", "left_semi").select("id", "vertex"), "asked")
+    own = asked.select(F.col("vertex").alias("id")).distinct()
+    begun = leaf_rows(codes.join(own, "id", "left_semi"), shared, TREES).groupBy("id", "code").agg(F.collect_list("leaf").alias("leaves")).withColumnRenamed("id", "query")
+    # A query's own vertex takes one of the places and holds its copies.
+    found = search(begun, codes, graph, leaves, k + 1).select("query", "id").union(own.select("id", "id")).distinct()
+    rows = _nearest_rows(found.toDF("vertex", "nbr_vertex"), asked, owners, vectors, k)
+    return rows.select(F.col("id").alias("query"), F.col("nbr").alias("id"), "similarity")
+
+
 def _scores(batches):
     for batch in batches:
         if batch.num_rows:
