@@ -104,6 +104,51 @@ def _(g, spark, d):
     return simple_paths(inner, _one(spark, m), _one(spark, far), 6).select(F.explode("path").alias("id")).distinct()
 
 
+# The queries above stop where their SQL does; those below have the reference's own bounds.
+
+
+def _ends(g, spark, *types):
+    """The middle, the vertex farthest from it within 8 steps of the given types (all if none), and those edges between nodes."""
+    m = gq.middle(g)
+    inner = (g.edges_of_types(*types) if types else g.edges).join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    inner, _ = keep(inner, "inner-edges")
+    return m, distances(directed(inner), _one(spark, m), 8).where("depth > 0").orderBy(F.desc("depth"), "id").first()["id"], inner
+
+
+@register("g2_isolate_deep", sql(f"SELECT {NODE} FROM cn WHERE id IN (SELECT id FROM b) OR starts_with(qualified_name, (SELECT id FROM mid) || '.')", f"""b(id, d) AS ({MID.replace('id', 'id, 0', 1)}
+  UNION SELECT e.o, r.d + 1 FROM b r JOIN (SELECT source AS s, target AS o FROM ge UNION SELECT target, source FROM ge) e ON e.s = r.id WHERE r.d < 3)"""))
+def isolate_deep(g, spark, d):
+    m = gq.middle(g)
+    ids = distances(directed(g.edges, "both"), _one(spark, m), 3).select("id")
+    inside = g.nodes.where(F.col("qualified_name").startswith(m + ".")).select("id")
+    return g.nodes.join(ids.union(inside), "id", "left_semi").select(*SHOWN)
+
+
+@register("g10_all_call_distances")
+def all_call_distances(g, spark, d):
+    """Every node called from the middle, over chains of any length."""
+    inner = g.edges_of_types("calls").join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    return distances(keep(directed(inner), "inner-calls")[0], _one(spark, gq.middle(g)))
+
+
+@register("g7_shortest_path_all_types")
+def shortest_path_all_types(g, spark, d):
+    m, far, inner = _ends(g, spark)
+    return shortest_path(inner, m, far)
+
+
+@register("g8_all_paths_all_types")
+def all_paths_all_types(g, spark, d):
+    m, far, inner = _ends(g, spark)
+    return simple_paths(inner, _one(spark, m), _one(spark, far), 8)
+
+
+@register("g12_call_chain_deep")
+def call_chain_deep(g, spark, d):
+    m, far, inner = _ends(g, spark, "calls")
+    return simple_paths(inner, _one(spark, m), _one(spark, far), 8).select(F.explode("path").alias("id")).distinct()
+
+
 _UPDOWN = (reached("up", MID, "e.edge_type = 'calls'", backward=True), reached("down", MID, "e.edge_type = 'calls'"))
 _ROLES = "roles AS (SELECT id, CASE WHEN id IN (SELECT id FROM mid) THEN 'origin' WHEN id IN (SELECT id FROM up) AND id IN (SELECT id FROM down) THEN 'mutator' WHEN id IN (SELECT id FROM up) THEN 'passthrough' ELSE 'destination' END AS role FROM (SELECT id FROM up UNION SELECT id FROM down) x)"
 
