@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from topoweave.operators import layout
 from topoweave.operators.centrality import betweenness, pagerank
 from topoweave.operators.components import components
-from topoweave.operators.cycles import cycles, is_cyclic, layers, strong_components
+from topoweave.operators.cycles import all_cycles, cycles, is_cyclic, layers, strong_components
 from topoweave.operators.deadcode import dead_imports, dead_returns, dead_symbols, live
 from topoweave.operators.graph import SHOWN, induced
 from topoweave.operators.similarity import bands, candidates, classes, count_cosine, duplicate_groups, neighbourhood, neighbourhood_kernel, record_pairs, scored
@@ -214,6 +214,12 @@ def _(g, spark, d):
     return cycles(g.edges_of_types("calls", "imports"), 4)
 
 
+@register("c4_all_cycles")
+def _(g, spark, d):
+    """Cycles of any length; those of components too dense to be walked to the end are flagged."""
+    return all_cycles(g.edges_of_types("calls", "imports"))
+
+
 @register("c5_has_circular_dependencies")
 def _(g, spark, d):
     return spark.createDataFrame([(is_cyclic(g.edges_of_types("calls", "imports")),)], "cyclic boolean")
