@@ -13,7 +13,7 @@ from topoweave.plans.tables import drop, keep
 def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, rank): parallel edges add weight, vertices without a way out give to all alike.
 
-    Ends after ``rounds``, or when the ranks move less than ``tolerance`` per vertex in sum.  Contributions
+    Ends after ``rounds``, or when all ranks, whose sum is 1, together move less than ``tolerance``.  Contributions
     are added up per task before the shuffle, so a vertex of very many edges costs no more than others.
     """
     spark = edges.sparkSession
@@ -31,7 +31,7 @@ def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, round
         moved = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance is not None else None
         drop(spark, path)
         rank, path = nxt.select("id", "rank"), used
-        if moved is not None and moved < n * tolerance:
+        if moved is not None and moved < tolerance:
             break
     return rank
 

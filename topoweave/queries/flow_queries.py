@@ -242,7 +242,7 @@ def _(g, spark, d):
 @register("c6_critical_nodes")
 def _(g, spark, d):
     v = g.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    return pagerank(g.edges, v, rounds=40).orderBy(F.desc("rank"), "id").limit(20)
+    return pagerank(g.edges, v).orderBy(F.desc("rank"), "id").limit(20)
 
 
 @register("c7_import_bottlenecks")
