@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from topoweave.llm import nearcopies, setjoin
+from topoweave.llm.forest import pairs_within
 from topoweave.llm.nearcopies import near_copies
 from topoweave.llm.setjoin import member_pairs, similar_sets
 
@@ -53,6 +54,38 @@ def test_equal_sets_stay_one_class_and_overfull_neighbourhoods_lose_nothing(spar
     assert classes.select("class").distinct().count() == 8
 
 
+def test_exact_mode_and_search_in_blocks_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "FULL", 20)
+    monkeypatch.setattr(setjoin, "QUERY_MEMBERS", 100)
+    r = random.Random(8)
+    rows = [(i, [f"m{k}" for k in r.sample(range(14), 9)], None) for i in range(150)]
+    want = brute_sets(rows)
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], SETS)
+    fields = {f: F.col(f) for f in FIELDS}
+    pairs, classes = similar_sets(df, "id", fields, 0.7, 5, exact=True)
+    assert sorted(tuple(x) for x in member_pairs(pairs, classes).collect()) == want
+    heads, _ = setjoin.set_classes(df, "id", fields, 5)
+    found = sorted((x.q, x.id) for x in setjoin.partners_in_blocks(heads.where("id % 5 = 0"), heads, 0.7).collect())
+    ids = {x.id for x in heads.collect()}
+    assert found == sorted((a, b) for p in want for a, b in (p, p[::-1]) if a % 5 == 0 and a in ids and b in ids)
+
+
+def test_accounts_are_filled_by_further_trees(spark, monkeypatch):
+    """Groups of similar, unequal sets overfill their places at every depth; no pair may be lost by deepening."""
+    monkeypatch.setattr(setjoin, "FULL", 6)
+    r = random.Random(6)
+    rows = [(i, [f"g{i % 5}.{k}" for k in range(24) if r.random() < 0.9], None) for i in range(250)]
+    want = brute_sets(rows)
+    got, _ = set_pairs(spark, rows)
+    assert set(got) <= set(want) and len(got) >= 0.998 * len(want)
+
+
+def test_pairs_of_a_hot_group_are_cut_into_parts(spark):
+    df = spark.createDataFrame([(i, 0 if i < 90 else i // 2) for i in range(120)], "id bigint, g bigint")
+    got = sorted(tuple(x) for x in pairs_within(df, "g", 7).collect())
+    assert got == sorted((a, b) for a in range(120) for b in range(a + 1, 120) if (a < 90 and b < 90) or (a >= 90 and a // 2 == b // 2))
+
+
 def test_empty_set_tables(spark):
     assert set_pairs(spark, [])[0] == [] and set_pairs(spark, [(1, None, None)])[0] == []
 
@@ -118,6 +151,13 @@ def test_copies_hot_nodes_and_long_texts(spark, monkeypatch):
     assert len({c for i, (c, _) in got.items() if i < 90}) == 9
 
 
+def test_exact_mode_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "FULL", 30)
+    rows = texts(120, 9)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "rid bigint, text string, id string")
+    assert {r["id"]: r["group"] for r in near_copies(df, "rid", "text", exact=True).collect()} == brute_groups(rows)
+
+
 def test_no_texts_and_repeated_ids(spark):
     assert groups_of(spark, []) == {} and groups_of(spark, [(1, None)]) == {}
     t = " ".join(f"t{k}" for k in range(50))

@@ -1,17 +1,21 @@
 """Groups of records whose texts are slightly changed copies, by signature trees.
 
 A text is the set of its runs of ``width`` tokens, held as a bitmap with the
-set's size.  A plain signature tree over all records would prune nothing near
-its root, where the OR of many bitmaps is full; so the upper nodes are keyed by
-the least hash of a set (minhash prefixes, several trees, so that a pair of
-threshold similarity shares a node with the chance ``RECALL``), overfull nodes
-being split by longer prefixes in more trees.  Below such a node stand leaves of
-``LEAF`` records in order of size, each with the OR of its bitmaps and its range
-of sizes.  A dual traversal visits pairs of leaves, then record against leaf,
-then record against record, and leaves off where the size ranges or the largest
-possible overlap rule a similarity above the threshold out; no bound ever drops
-an alike pair.  Surviving pairs are verified on the whole sets of runs, and
-groups are the connected components of verified pairs.
+set's size.  One signature tree over all records would prune nothing near its
+root, where the OR of very many bitmaps is full; so records are first parted by
+the sorted sketches of :mod:`topoweave.llm.forest` (trees of minhash prefixes,
+so many that a pair of threshold similarity meets with the chance ``RECALL``;
+overfull places are deepened in place and paid for by further trees).
+
+The records of a place stand in a signature tree: in order of their sketches,
+``FAN`` records to a leaf, ``FAN`` nodes to the node above, up to one root, each
+node with the OR of its bitmaps and its range of sizes.  A dual traversal goes
+down from the pair (root, root): a pair of nodes is left with everything below
+it where the size ranges or the largest possible overlap rule a similarity above
+the threshold out, else all pairs of their children are visited; no bound ever
+drops an alike pair.  Surviving pairs of records are verified on the whole sets,
+and groups are the connected components of verified pairs.  With ``exact`` set
+all records stand in one place, in parts, and no pair is missed.
 
 Defined results: null texts and texts of fewer than ``min_tokens`` tokens belong
 to no group; records of equal sets are one class and alike whatever their
@@ -29,15 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoweave.llm.setjoin import bitmaps, lists, minhashes, mixed, shared_nodes, trees_for
+from topoweave.llm.forest import grown, in_parts, mixed, signatures, trees_for
+from topoweave.llm.setjoin import bitmaps, lists, spans
 from topoweave.operators.components import components
 from topoweave.plans.tables import keep
 
 TOKEN = re.compile(r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9]")
-DEPTHS = (2, 3, 5)
-FULL = 4_000
+#: Shortest common prefix of records of one place, and records of a place above which it is deepened.
+DEPTH, FULL = 2, 4_000
 RECALL = 0.9999
-LEAF = 8
+FAN = 8
 WORDS = 16  # of 64 bits in a bitmap
 _PAIRS = 1 << 18
 
@@ -75,20 +80,8 @@ def runs_of(texts: list, width: int, min_tokens: int) -> tuple[np.ndarray, np.nd
     return np.array(rows), run, np.searchsorted(owner, np.arange(len(rows) + 1))
 
 
-def _keys(values: np.ndarray, offsets: np.ndarray, depth: int, trees: int) -> np.ndarray:
-    """Upper node of every record in each tree."""
-    out = np.zeros((trees, len(offsets) - 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for t in range(trees):
-            seed = (depth * 1_000 + t) * 64
-            for h in minhashes(values, offsets[:-1], range(seed, seed + depth)):
-                out[t] = mixed(out[t] * np.uint64(0x9E3779B97F4A7C15) + h)
-            out[t] += np.uint64(t)
-    return out
-
-
-def _signatures(width: int, min_tokens: int, depth: int, trees: int):
-    """Maps (id, text) to a row per record: hash and size of its set, bitmap, and its upper node in each tree."""
+def _signed(width: int, min_tokens: int, first_tree: int, trees: int):
+    """Maps (id, text) to a row per record: hash and size of its set, bitmap, and its sketch in each tree."""
 
     def run(batches):
         for batch in batches:
@@ -98,11 +91,9 @@ def _signatures(width: int, min_tokens: int, depth: int, trees: int):
                 if not len(rows):
                     continue
                 maps, doubles = bitmaps(values, offsets, WORDS)
-                keys = np.ascontiguousarray(_keys(values, offsets, depth, trees).T).reshape(-1).view(np.int64)
-                nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * trees), pa.array(keys))
                 bits = pa.array([m.tobytes() for m in maps], pa.binary())
-                columns = [part.column(0).take(pa.array(rows)), pa.array(_set_hash(values, offsets)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(doubles.astype(np.int32)), bits, nodes]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n", "doubles", "bits", "nodes"])
+                columns = [part.column(0).take(pa.array(rows)), pa.array(_set_hash(values, offsets)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(doubles.astype(np.int32)), bits]
+                yield pa.RecordBatch.from_arrays([*columns, *signatures(values, offsets, first_tree, trees)], ["id", "h", "n", "doubles", "bits", "hi", "lo"])
 
     return run
 
@@ -112,63 +103,68 @@ def _set_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.add.reduceat(mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1]).view(np.int64)
 
 
-def _within(first: np.ndarray, count: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All i <= j (or i < j without ``own``) of each span first .. first + count."""
-    i = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    end = np.repeat(first + count, count)
-    start = i if own else i + 1
-    n = end - start
-    left = np.repeat(i, n)
-    return left, np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _chunks(n: np.ndarray, most: int):
-    """Spans of positions whose counts sum to about ``most``."""
-    total, a = np.cumsum(n), 0
-    while a < len(n):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
-def traverse(node: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray, threshold: float):
-    """Pairs of rows that may be alike, of records sorted by (node, n): yields (i, j) arrays."""
-    need = threshold / (1 + threshold)
-    step = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    size = np.diff(np.append(step, len(node)))
-    per = -(-size // LEAF)
-    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    first = np.repeat(step, per) + place * LEAF
-    count = np.minimum(LEAF, np.repeat(step + size, per) - first)
-    union = np.bitwise_or.reduceat(maps, first, axis=0)
-    low, high = n[first], n[first + count - 1]
-    loss = np.maximum.reduceat(doubles, first)
-    upper = np.cumsum(per) - per
-    for u0, u1 in _chunks(per * (per + 1) // 2, _PAIRS):
-        a, b = _within(upper[u0:u1], per[u0:u1], True)
-        # Leaf against leaf: the sizes must be able to agree, and the ORs to overlap enough.
-        ok = high[a] >= low[b] * threshold - 1e-9
-        a, b = a[ok], b[ok]
-        shared = np.bitwise_count(union[a] & union[b]).sum(axis=1, dtype=np.int64) + np.minimum(loss[a], loss[b])
-        ok = shared >= (low[a] + low[b]) * need - 1e-9
-        a, b = a[ok], b[ok]
-        for l0, l1 in _chunks(count[a], _PAIRS):
-            # Record of one leaf against the other leaf.
-            c = count[a[l0:l1]]
-            i = np.repeat(first[a[l0:l1]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            leaf = np.repeat(b[l0:l1], c)
-            ok = (high[leaf] >= n[i] * threshold - 1e-9) & (n[i] >= low[leaf] * threshold - 1e-9)
-            i, leaf = i[ok], leaf[ok]
-            ok = np.bitwise_count(maps[i] & union[leaf]).sum(axis=1, dtype=np.int64) + doubles[i] >= (n[i] + low[leaf]) * need - 1e-9
-            i, leaf = i[ok], leaf[ok]
-            for r0, r1 in _chunks(count[leaf], _PAIRS):
-                c = count[leaf[r0:r1]]
-                x = np.repeat(i[r0:r1], c)
-                y = np.repeat(first[leaf[r0:r1]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                ok = (x < y) & (n[x] >= n[y] * threshold - 1e-9)
-                x, y = x[ok], y[ok]
-                ok = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(doubles[x], doubles[y]) >= (n[x] + n[y]) * need - 1e-9
-                yield x[ok], y[ok]
+class SignatureTrees:
+    """Trees over records in order of their group: at every level the span of children, OR, sizes and doubles of each node."""
+
+    def __init__(self, group: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray):
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(first, len(group)))
+        self.first, self.count = [None], [None]
+        self.maps, self.low, self.high, self.loss = [maps], [n], [n], [doubles]
+        while True:
+            per = -(-size // FAN)
+            place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+            begin = np.repeat(first, per) + place * FAN
+            self.first.append(begin), self.count.append(np.minimum(FAN, np.repeat(first + size, per) - begin))
+            self.maps.append(np.bitwise_or.reduceat(self.maps[-1], begin, axis=0))
+            self.low.append(np.minimum.reduceat(self.low[-1], begin)), self.high.append(np.maximum.reduceat(self.high[-1], begin))
+            self.loss.append(np.maximum.reduceat(self.loss[-1], begin))
+            first, size = np.cumsum(per) - per, per
+            if size.max() == 1:
+                return
+
+    def may_be_alike(self, level: int, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        low, high, maps, loss = self.low[level], self.high[level], self.maps[level], self.loss[level]
+        ok = (high[x] >= low[y] * threshold - 1e-9) & (high[y] >= low[x] * threshold - 1e-9)
+        at = np.flatnonzero(ok)
+        x, y = x[at], y[at]
+        most = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(loss[x], loss[y])
+        ok[at] = most >= (low[x] + low[y]) * (threshold / (1 + threshold)) - 1e-9
+        return ok
+
+    def descend(self, level: int, x: np.ndarray, y: np.ndarray, threshold: float):
+        """Pairs of records below the pairs of nodes (x, y) of a level: yields (i, j) arrays."""
+        ok = self.may_be_alike(level, x, y, threshold)
+        x, y = x[ok], y[ok]
+        if level == 0:
+            if len(x):
+                yield x, y
+            return
+        first, count = self.first[level], self.count[level]
+        kids = count[x] * count[y]
+        for a, b in spans(kids, _PAIRS):
+            p, q, k = x[a:b], y[a:b], kids[a:b]
+            of = np.repeat(np.arange(b - a), k)
+            nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            width = count[q][of]
+            i, j = first[p][of] + nth // width, first[q][of] + nth % width
+            # Below a pair of a node with itself every pair of children once, and no record with itself.
+            ok = (p[of] != q[of]) | ((i <= j) if level > 1 else (i < j))
+            yield from self.descend(level - 1, i[ok], j[ok], threshold)
+
+
+def traverse(node: np.ndarray, own: np.ndarray, whole: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray, threshold: float):
+    """Pairs of rows that may be alike, of records in order of (node, own): yields (i, j) arrays.
+
+    Each part ``own`` of a node is a tree; a ``whole`` one meets itself, the two parts of another node meet each other.
+    """
+    new = np.concatenate(([True], (node[1:] != node[:-1]) | (own[1:] != own[:-1])))
+    trees = SignatureTrees(np.cumsum(new), n, doubles, maps)
+    at = np.flatnonzero(new)
+    top, itself = len(trees.maps) - 1, np.flatnonzero(whole[at])
+    yield from trees.descend(top, itself, itself, threshold)
+    pair = np.flatnonzero(~whole[at[:-1]] & (node[at[:-1]] == node[at[1:]]))
+    yield from trees.descend(top, pair, pair + 1, threshold)
 
 
 def _traverser(threshold: float):
@@ -176,9 +172,8 @@ def _traverser(threshold: float):
         ids = t.column("id").combine_chunks()
         maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
         n, doubles = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "doubles"))
-        for x, y in traverse(t.column("node").to_numpy(), n, doubles, maps, threshold):
-            if len(x):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
+        for x, y in traverse(t.column("node").to_numpy(), t.column("own").to_numpy(), t.column("whole").to_numpy(), n, doubles, maps, threshold):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -235,44 +230,41 @@ def _alike(threshold: float):
     return run
 
 
-def _signed(texts: DataFrame, width: int, min_tokens: int, depth: int, threshold: float) -> DataFrame:
+def _sketches(texts: DataFrame, width: int, min_tokens: int, first: int, trees: int) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, h bigint, n int, doubles int, bits binary, nodes array<bigint>"
-    return keep(texts.mapInArrow(_signatures(width, min_tokens, depth, trees_for(depth, threshold, RECALL)), schema), "signatures")[0]
+    schema = f"id {kind}, h bigint, n int, doubles int, bits binary, hi array<bigint>, lo array<bigint>"
+    return keep(texts.mapInArrow(_signed(width, min_tokens, first, trees), schema), "signatures")[0]
 
 
-def _in_parts(places: DataFrame) -> DataFrame:
-    """The deepest nodes, overfull ones cut into parts of about FULL / 2 records of which every two meet in a node of their own."""
-    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("held") / FULL)).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    split = places.where(f"held > {FULL}").select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    split = split.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
-    return places.where(f"held <= {FULL}").select("node", "id").unionByName(split)
+def _meeting(rows: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of records that come together in the signature trees of their places."""
+    kind = rows.schema["id"].dataType.simpleString()
+    at = places.join(rows.select("id", "n", "doubles", "bits"), "id").select("node", "own", "hi", "lo", "id", "n", "doubles", "bits", "whole")
+    near = at.repartition("node").sortWithinPartitions("node", "own", "hi", "lo", "id").select("node", "own", "whole", "id", "n", "doubles", "bits").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int) -> DataFrame:
-    """Verified pairs (a, b) of class heads; ``texts``: (id, text), ``signed``: their rows of the first depth, ``classes``: (id, h, class)."""
+def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int, exact: bool = False) -> DataFrame:
+    """Verified pairs (a, b) of class heads; ``texts``: (id, text), ``signed``: their rows of the first trees, ``classes``: (id, h, class)."""
     kind = texts.schema["id"].dataType.simpleString()
     # The rows that are not the head of their class; few, so that leaving them out moves no signature.
     others, _ = keep(classes.where("id != class").select("id"), "followers")
+
+    def sketches(first: int, trees: int, only: DataFrame | None) -> DataFrame:
+        if only is None:
+            return signed.join(others, "id", "left_anti")
+        rows = _sketches(texts.join(only, "id", "left_semi"), width, min_tokens, first, trees)
+        return rows.join(classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"])
+
     found = None
-    for k, depth in enumerate(DEPTHS):
-        last = k == len(DEPTHS) - 1
-        heads = signed.join(others, "id", "left_anti")
-        # Only node and id are shuffled to see which records share a node with others; bitmaps follow for those.
-        places = shared_nodes(heads)
-        here = _in_parts(places) if last else places.where(f"held <= {FULL}")
-        rows = here.select("node", "id").join(signed.select("id", "n", "doubles", "bits"), "id").select("node", "id", "n", "doubles", "bits")
-        near = rows.repartition("node").sortWithinPartitions("node", "n").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = near if found is None else found.union(near)
-        if last:
-            break
-        deeper, _ = keep(places.where(f"held > {FULL}").select("id").distinct(), "deeper")
-        if deeper.isEmpty():
-            break
-        signed = _signed(texts.join(deeper, "id", "left_semi"), width, min_tokens, DEPTHS[k + 1], threshold)
-        signed = signed.join(classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"])
+    if exact:
+        rows = sketches(0, 0, None)
+        one = rows.select(F.lit(0).cast("bigint").alias("node"), "id", F.col("hi")[0].alias("hi"), F.col("lo")[0].alias("lo")).crossJoin(rows.agg(F.count("*").alias("held")))  # one row
+        found = _meeting(rows, in_parts(one, FULL), threshold)
+    else:
+        for rows, places in grown(sketches, DEPTH, threshold, RECALL, FULL):
+            near = _meeting(rows, places, threshold)
+            found = near if found is None else found.union(near)
     found, _ = keep(found.distinct(), "alike-candidates")
     wanted, _ = keep(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "alike-ids")
     runs = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width, min_tokens), f"id {kind}, h bigint, runs array<bigint>")
@@ -281,10 +273,16 @@ def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, thresho
     return x.mapInArrow(_alike(threshold), f"a {kind}, b {kind}")
 
 
-def near_copies(records: DataFrame, record_id: str, text: str, threshold: float = 0.6, width: int = 3, min_tokens: int = 40) -> DataFrame:
+def text_sets(texts: DataFrame, width: int = 3, min_tokens: int = 40) -> DataFrame:
+    """(id, members): the runs of every text long enough, of (id, text)."""
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(_sets(width, min_tokens), f"id {kind}, h bigint, runs array<bigint>").select("id", F.col("runs").alias("members"))
+
+
+def near_copies(records: DataFrame, record_id: str, text: str, threshold: float = 0.6, width: int = 3, min_tokens: int = 40, exact: bool = False) -> DataFrame:
     """(id, class, group) of every record long enough: class of equal sets, group of alike records; both named by their least id."""
     texts = records.select(F.col(record_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    signed = _signed(texts, width, min_tokens, DEPTHS[0], threshold)
+    signed = _sketches(texts, width, min_tokens, 0, trees_for(DEPTH, threshold, RECALL))
     sets = signed.groupBy("id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
     least = sets.groupBy("h").agg(F.min("id").alias("class"))
     classes, _ = keep(sets.join(least, "h").select("id", "h", "class", "rows"), "text-classes")
@@ -292,6 +290,6 @@ def near_copies(records: DataFrame, record_id: str, text: str, threshold: float
     if not repeated.isEmpty():
         once = signed.join(repeated, ["id", "h"], "left_semi").dropDuplicates(["id"])
         signed, _ = keep(signed.join(repeated, "id", "left_anti").unionByName(once), "signatures")
-    links = alike_pairs(texts, signed, classes, threshold, width, min_tokens)
+    links = alike_pairs(texts, signed, classes, threshold, width, min_tokens, exact)
     groups = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("group"))
     return classes.join(groups, "class", "left").select("id", "class", F.coalesce("group", "class").alias("group"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topoweave.llm.nearcopies import near_copies
+from topoweave.llm.forest import pairs_within
+from topoweave.llm.nearcopies import near_copies, text_sets
+from topoweave.llm.setjoin import partners_in_blocks
 from topoweave.llm.setjoin_queries import current_fingerprints
+from topoweave.plans.tables import keep
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -15,11 +18,7 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of records in one group."""
-    g = _groups(spark, d).select("id", "group")
-    shared = g.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
-    g = g.join(shared, "group", "left_semi")
-    a, b = g.alias("a"), g.alias("b")
-    return a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("fp_a"), F.col("b.id").alias("fp_b"))
+    return pairs_within(_groups(spark, d), "group").select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -27,5 +26,15 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d).select(F.col("id").alias("fp_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the records alike to those whose id is divisible by 100, by comparison with all records, the share in the same group."""
+    fp = current_fingerprints(spark, d, "source_snippet")
+    groups, _ = keep(near_copies(fp, "fp_id", "source_snippet", 0.6).select("id", "group"), "groups")
+    sets, _ = keep(text_sets(fp.select(F.col("fp_id").alias("id"), F.col("source_snippet").alias("text")).where("text is not null")), "text-sets")
+    truth = partners_in_blocks(sets.where("id % 100 = 0"), sets, 0.6)
+    both = truth.join(groups.toDF("q", "gq"), "q", "left").join(groups, "id", "left")
+    return both.agg(F.count("*").alias("n_true"), F.count_if(F.col("gq") == F.col("group")).alias("n_found"), F.try_divide(F.count_if(F.col("gq") == F.col("group")), F.count("*")).alias("recall"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p5_recall": p5_recall}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topoweave.llm.setjoin import member_pairs, similar_sets
+from topoweave.llm.setjoin import member_pairs, partners_in_blocks, set_classes, similar_sets
 from topoweave.plans.tables import keep, table
 
 FIELDS = ("callees", "callers", "reads", "writes")
@@ -39,6 +39,16 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(n, "class", "left").fillna(0, ["n_links"]).select(F.col("id").alias("fp_id"), F.col("class").alias("class_id"), "n_links")
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the distinct sets similar to those whose id is divisible by 100, by comparison with all sets, the share that is found."""
+    pairs, _ = _similar(spark, d)
+    pairs, _ = keep(pairs.select("a", "b"), "similar-sets")
+    heads, _ = set_classes(current_fingerprints(spark, d, *FIELDS), "fp_id", {f: F.col(f) for f in FIELDS}, 5)
+    truth = partners_in_blocks(heads.where("id % 100 = 0"), heads, 0.7)
+    found = pairs.union(pairs.select("b", "a")).toDF("q", "id").withColumn("hit", F.lit(1))
+    return truth.join(found, ["q", "id"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
+
+
 _CTE = """
 WITH cur AS (SELECT * FROM fingerprints WHERE fp_id IN (SELECT max(fp_id) FROM fingerprints GROUP BY node_id)),
 m AS (
@@ -49,5 +59,5 @@ m AS (
 s AS (SELECT fp_id, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 5),
 c AS (SELECT a.fp_id AS fp_a, b.fp_id AS fp_b, count(*) AS k FROM m a JOIN m b ON a.f = b.f AND a.v = b.v AND a.fp_id < b.fp_id GROUP BY 1, 2)
 """
-QUERIES = {"p3_found": p3_found, "p3_links": p3_links}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p3_recall": p3_recall}
 SQL = {"p3_found": _CTE + "SELECT fp_a, fp_b FROM c JOIN s x ON x.fp_id = fp_a JOIN s y ON y.fp_id = fp_b WHERE 10 * k >= 7 * (x.n + y.n - k)"}
