@@ -135,7 +135,7 @@ def test_views_and_overlay(spark):
 
 
 def test_resolution(spark):
-    n = nodes(spark, function="p.a.f p.b.f p.b.g q.flush")
+    n = nodes(spark, module="p.b", function="p.a.f p.b.f p.b.g q.flush")
     e = edges(spark, "p.b.g>f p.b.f>f p.b.g>b.f p.b.g>nothing p.b.g>x.flush p.b.g>p.a.f")
     got = {(r.source, r.target): r.resolved for r in resolve_targets(e, n).collect()}
     assert got == {("p.b.g", "f"): "p.b.f", ("p.b.f", "f"): "p.a.f", ("p.b.g", "b.f"): "p.b.f", ("p.b.g", "nothing"): "nothing", ("p.b.g", "x.flush"): "x.flush", ("p.b.g", "p.a.f"): "p.a.f"}

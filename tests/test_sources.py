@@ -1,7 +1,8 @@
 from topoweave.plans.ask import ask
 from topoweave.operators.graph import PropertyGraph
 from topoweave.sources.files import comment_above, read_project, snippets
-from topoweave.sources.pysource import extract, file_rows, relationships, symbols
+from topoweave.operators.resolve import resolve_targets
+from topoweave.sources.pysource import exported, extract, file_rows, relationships, symbols
 from tests_helpers import edges, ids, nodes
 
 from pyspark.sql import functions as F
@@ -94,3 +95,102 @@ def test_phrases(spark):
     assert ids(ask(g, "methods")) == ["m.K.run", "m.f", "m.g"] and ids(ask(g, "classes in m")) == ["m.K"]
     assert ids(ask(g, "imports of m"), "target") == ["os"] and ids(ask(g, "RUN")) == ["m.K.run"] and ids(ask(g, "dead functions")) == []
     assert ids(ask(g, "callers of nobody here")) == []
+
+
+SHAPES = '''
+from typing import Optional
+class Result:
+    def describe(self): return "r"
+class State:
+    def activate(self): pass
+class Engine:
+    def __init__(self, state: State):
+        self.state = state
+    def run(self) -> Result:
+        return Result()
+class Fast(Engine):
+    def boost(self): return self.run()
+class Conn:
+    def execute(self, q): pass
+class Pool:
+    async def __aenter__(self) -> "Conn": pass
+    def each(self) -> list[Conn]: pass
+class Failed(Exception):
+    def explain(self): pass
+def make():
+    e = Fast(State())
+    return e
+'''
+USES = '''
+from shop.shapes import Engine, Fast as Quick, Pool, make, Failed, Optional
+import shop.shapes as sh
+def chained(engine: Engine):
+    engine.state.activate()
+def propagated():
+    r = Quick(None).run()
+    q = r
+    q.describe()
+    d = {}
+    d.items()
+def looped(engines: "list[Engine]", pool: Optional[Pool]):
+    for e in engines:
+        e.run()
+    [x.run() for x in engines]
+    for c in pool.each():
+        c.execute("q")
+async def entered():
+    async with Pool() as conn:
+        conn.execute("q")
+    try:
+        made = make()
+        made.boost()
+    except Failed as err:
+        err.explain()
+def walrus():
+    if (w := make()):
+        w.run()
+    sh.make().boost()
+def hidden(engine):
+    engine.run()
+class Left:
+    def execute(self): pass
+class Right:
+    def execute(self): pass
+class Diamond(Left, Right):
+    def execute(self):
+        super().execute()
+        def inner():
+            self.other()
+        inner()
+    def other(self): pass
+def fact(n):
+    return fact(n - 1)
+'''
+AGAIN = "from shop.uses import Engine as E\n__all__ = ['start', 'gone']\ndef start():\n    return E(None)\n"
+FILES = "file_id bigint, path string, module string, content string, mtime timestamp_ntz"
+
+
+def test_calls_resolve_by_types(spark):
+    r = extract(spark.createDataFrame([(1, "shop/shapes.py", None, SHAPES, None), (2, "shop/uses.py", None, USES, None), (3, "shop/again.py", None, AGAIN, None)], FILES)).cache()
+    n = symbols(r).cache()
+    got = {(x.source.removeprefix("shop.uses."), x.target.removeprefix("shop.")) for x in relationships(r, n).where("edge_type = 'calls'").collect()}
+    for pair in [
+        ("chained", "shapes.State.activate"), ("propagated", "shapes.Result.describe"), ("looped", "shapes.Engine.run"), ("looped", "shapes.Conn.execute"), ("entered", "shapes.Conn.execute"),
+        ("entered", "shapes.Fast.boost"), ("entered", "shapes.Failed.explain"), ("walrus", "shapes.Engine.run"), ("walrus", "shapes.Fast.boost"), ("Diamond.execute", "uses.Left.execute"),
+        ("Diamond.execute", "uses.Diamond.execute.inner"), ("Diamond.execute.inner", "uses.Diamond.other"), ("shop.shapes.Fast.boost", "shapes.Engine.run"), ("shop.again.start", "shapes.Engine"), ("hidden", "engine.run"),
+    ]:
+        assert pair in got, (pair, sorted(got))
+    assert not any(t.endswith("items") for _, t in got) and ("Diamond.execute", "uses.Right.execute") not in got
+    reads = {(x.source, x.target) for x in r.where("kind = 'edge' and edge_type = 'reads'").collect()}
+    assert not any(t in ("self", "super") or t.startswith("super.") for _, t in reads)
+    assert ids(exported(r)) == ["shop.again.gone", "shop.again.start"]
+
+
+def test_names_resolve_with_guards(spark):
+    n = nodes(spark, **{"class": "a.m.K"}, module="a.m b.m", function="a.m.fact a.m.log b.m.log b.m.get a.m.near", method="a.m.K.log")
+    e = edges(spark, "a.m.fact>fact a.m.fact>log b.m.near>log a.m.fact>get a.m.fact>unknown.log a.m.fact>K.log near>b.m.log near>unknown.log a.m.log>log")
+    got = {(r.source, r.target): (r.resolved_source, r.resolved) for r in resolve_targets(e, n).collect()}
+    assert got == {
+        ("a.m.fact", "fact"): ("a.m.fact", "a.m.fact"), ("a.m.fact", "log"): ("a.m.fact", "a.m.log"), ("b.m.near", "log"): ("b.m.near", "b.m.log"), ("a.m.fact", "get"): ("a.m.fact", "get"),
+        ("a.m.fact", "unknown.log"): ("a.m.fact", "unknown.log"), ("a.m.fact", "K.log"): ("a.m.fact", "a.m.K.log"), ("near", "b.m.log"): ("a.m.near", "b.m.log"), ("near", "unknown.log"): ("near", "unknown.log"), ("a.m.log", "log"): ("a.m.log", "a.m.K.log"),
+    }

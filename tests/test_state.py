@@ -2,7 +2,7 @@ import datetime as dt
 
 from topoweave.functions.rank import global_rank
 from topoweave.operators.layout import circular, hierarchical, spiral
-from topoweave.operators.similarity import _distance, _tree, candidates, duplicate_groups, neighbourhood_kernel, scored
+from topoweave.operators.similarity import candidates, duplicate_groups, gram_overlap, neighbourhood_kernel, scored, tree_grams
 from topoweave.streaming.changes import apply_delta, as_of, is_full_refresh, latest_by_stream, node_delta, replace_files, windowed_counts, run_to_table
 from tests_helpers import edges, ids, nodes
 
@@ -70,11 +70,13 @@ def fp(i, m, tree=((0, "F"), (1, "A"), (1, "B")), callees=("x.a", "y.b"), lines=
     return (i, m, list(tree) if tree is not None else None, {"A": 1, "B": 2}, list(callees), [], ["r"], None, ["p"], 1, lines, 1, True, False, False, False, False)
 
 
-def test_tree_distance():
-    t = lambda *rows: _tree([{"depth": d, "label": x} for d, x in rows])
-    a = t((0, "F"), (1, "A"), (2, "C"), (1, "B"))
-    assert a == ("F", (("A", (("C", ()),)), ("B", ())))
-    assert _distance(a, a, 80) == 0 and _distance(a, t((0, "F"), (1, "A"), (2, "D"), (1, "B")), 80) == 1 and _distance(a, t((0, "G"), (1, "A"), (2, "C")), 80) == 2
+def test_tree_grams(spark):
+    trees = [[(0, "F"), (1, "A"), (2, "C"), (1, "B")], [(0, "F"), (1, "A"), (2, "D"), (1, "B")], [(0, "F"), (1, "B"), (1, "A"), (2, "C")], [(0, "F"), (1, "A"), (1, "A"), (1, "A")], None, []]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(trees)], "k int, t array<struct<depth int, label string>>").select("k", tree_grams(F.col("t")).alias("g"))
+    x = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), gram_overlap(F.col("a.g"), F.col("b.g")).alias("s"))
+    got = {(r.i, r.j): r.s for r in x.collect()}
+    # Changing one of four labels leaves three grams; a swap of siblings changes those that name the sibling before.
+    assert got[0, 0] == 1 and got[0, 1] == 0.75 and got[0, 2] == 0.5 and got[3, 3] == 1 and got[0, 3] == 0.5 and got[0, 4] == got[4, 4] == got[5, 0] == 0
 
 
 def test_kernel_closed_form(spark):

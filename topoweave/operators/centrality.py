@@ -17,23 +17,29 @@ def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, round
     are added up per task before the shuffle, so a vertex of very many edges costs no more than others.
     """
     spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = edges.groupBy("source", "target").agg(F.count("*").alias("w"))
     total = w.groupBy("source").agg(F.sum("w").alias("t"))
     links, p0 = keep(w.join(total, "source").select("source", "target", (F.col("w") / F.col("t")).alias("share")), "links")
     n = vertices.count()
-    dangling, p1 = keep(vertices.select("id").join(links.select(F.col("source").alias("id")), "id", "left_anti"), "dangling")
-    rank, path = keep(vertices.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), "rank")
+    ends = links.select(F.col("source").alias("id")).distinct().withColumn("out", F.lit(True))
+    start = vertices.select("id").join(ends, "id", "left").select("id", F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(0.0).alias("was"), F.col("out").isNull().alias("dangling"))
+    # The links lie partitioned by their source for all rounds; only ranks and contributions move.
+    links = links.repartition(parts, "source").persist()
+    rank, path = keep(start, "rank")
+    lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(rounds):
-        lost = rank.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = links.join(rank.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("g"))
+        given = links.join(rank.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("g"))
         new = damping * (F.coalesce("g", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - damping) / n)
-        nxt, used = keep(rank.join(given, "id", "left").select("id", new.alias("rank"), F.col("rank").alias("was")), "rank")
-        moved = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance is not None else None
+        nxt, used = keep(rank.join(given, "id", "left").select("id", new.alias("rank"), F.col("rank").alias("was"), "dangling"), "rank")
+        lost, moved = nxt.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
         drop(spark, path)
-        rank, path = nxt.select("id", "rank"), used
-        if moved is not None and moved < tolerance:
+        rank, path = nxt, used
+        if tolerance is not None and (moved or 0.0) < tolerance:
             break
-    return rank
+    links.unpersist()
+    drop(spark, p0)
+    return rank.select("id", "rank")
 
 
 def betweenness(edges: DataFrame, vertices: DataFrame, sources: DataFrame | None = None) -> DataFrame:

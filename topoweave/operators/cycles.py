@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topoweave.operators.traverse import closure, directed
-from topoweave.plans.tables import keep
+from topoweave.plans.tables import drop, keep
 
 
 def cyclic_core(steps: DataFrame) -> DataFrame:
@@ -52,26 +52,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return sized.join(big, "colour").select("id", "component")
 
 
-#: Steps that a colour is passed on for each table that is written.
-HOPS = 3
-
-
 def _coloured(steps: DataFrame) -> DataFrame:
     """(id, colour): the least id from which each vertex can be reached."""
-    colour = steps.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("colour", F.col("id"))
-    colour, _ = keep(colour, "colour")
-    changed = colour
-    while not changed.isEmpty():
-        # What changed is passed on over a few steps at once, each vertex keeping the least colour that comes to it.
-        wave = [changed.select("id", "colour")]
-        for _ in range(HOPS):
-            wave.append(steps.join(wave[-1].toDF("u", "c"), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("colour")))
-        offer = reduce(DataFrame.union, wave[1:]).groupBy("id").agg(F.min("colour").alias("c"))
-        both = colour.join(offer, "id", "left").select("id", "colour", F.least("colour", "c").alias("next"))
-        both, _ = keep(both, "colour")
-        changed = both.where("next < colour").select("id", F.col("next").alias("colour"))
-        colour = both.select("id", F.col("next").alias("colour"))
-    return colour
+    spark = steps.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_start = steps.select("u", "v").repartition(parts, "u").persist()
+    ids = steps.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    state, path = keep(ids.select("id", F.col("id").alias("colour"), F.lit(True).alias("new")), "colour")
+    while not state.where("new").isEmpty():
+        # Only colours that changed are passed on, the least per vertex.
+        offer = by_start.join(state.where("new").select(F.col("id").alias("u"), F.col("colour").alias("c")), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("c"))
+        nxt, used = keep(state.join(offer, "id", "left").select("id", F.least("colour", "c").alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("new")), "colour")
+        drop(spark, path)
+        state, path = nxt, used
+    by_start.unpersist()
+    return state.select("id", "colour")
 
 
 def layers(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -69,6 +69,28 @@ class PropertyGraph:
         hit = self.nodes.where((F.col("id") == name) | F.lower("qualified_name").contains(name.lower()))
         return hit.orderBy(F.col("id") != name, F.length("qualified_name"), "id").limit(1)
 
+    def focus(self, name: str, most: int = 10) -> DataFrame:
+        """(status, id): the node of that id, else the only one whose qualified name holds it, else up to ``most`` of several as ambiguous, else not found."""
+        hit = self.nodes.where((F.col("id") == name) | F.lower("qualified_name").contains(name.lower())).select("id", (F.col("id") != name).alias("part"))
+        first = hit.orderBy("part", "id").limit(most + 1)
+        one = first.agg(F.count("*").alias("n"), F.count_if(~F.col("part")).alias("exact"))  # one row
+        x = first.crossJoin(one).where("exact = 0 or not part").orderBy("part", "id").limit(most)
+        found = x.select(F.when(F.col("exact") > 0, "exact").when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"), "id")
+        return found.unionByName(one.where("n = 0").select(F.lit("not found").alias("status"), F.lit(None).cast("string").alias("id")))
+
+    def snapshot(self, level: str = "function", show_dead: bool = True, show_proposed: bool = True, around: DataFrame | None = None, roles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of a view: a zoom level, flags, only what ``around`` (id) names, and roles put on visible ancestors."""
+        nodes, _ = keep(self.visible(level, show_dead, show_proposed, around), "snapshot-nodes")
+        kept = self.edges
+        if not show_dead:
+            kept = kept.where("not is_dead")
+        if not show_proposed:
+            kept = kept.where("not is_proposed")
+        edges = replace(self, edges=kept).rolled_up_edges(nodes)
+        if roles is not None:
+            nodes = nodes.join(self.rolled_up_roles(roles, nodes), "id", "left")
+        return nodes, edges
+
     def visible(self, level: str = "function", show_dead: bool = True, show_proposed: bool = True, among: DataFrame | None = None) -> DataFrame:
         """Nodes of a zoom level; unknown levels show functions and methods."""
         n = self.nodes.where(F.col("symbol_type").isin(*ZOOM.get(level, ZOOM["function"])))
@@ -212,6 +234,14 @@ class PropertyGraph:
         shown = self.nearest_visible(roles.select("id"), visible)
         return roles.join(shown, "id").groupBy(F.col("shown").alias("id")).agg(F.min_by("role", order).alias("role"))
 
+    def rolled_up_edge_roles(self, roles: DataFrame, visible: DataFrame) -> DataFrame:
+        """(source, target, role) between visible ancestors of the ends; write before read before flow."""
+        ends = roles.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        shown, _ = keep(self.nearest_visible(ends, visible), "nearest-visible")
+        up = roles.join(shown.toDF("source", "s"), "source").join(shown.toDF("target", "t"), "target").where("s != t")
+        order = F.array_position(F.array(F.lit("write"), F.lit("read"), F.lit("flow")), F.col("role"))
+        return up.groupBy(F.col("s").alias("source"), F.col("t").alias("target")).agg(F.min_by("role", order).alias("role"))
+
     def with_overlay(self, nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
         """The graph with proposed nodes and edges; the stored graph is left as it is."""
         return replace(self, nodes=self.nodes.unionByName(nodes), edges=self.edges.unionByName(edges))

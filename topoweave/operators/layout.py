@@ -29,7 +29,7 @@ def _fitted(p: DataFrame, n: int, width: float, height: float) -> DataFrame:
 def spiral(nodes: DataFrame, width: float = 1200, height: float = 800) -> DataFrame:
     r = global_rank(nodes.select("id"), "id")
     n, i = r.count(), F.col("nth")
-    return _fitted(r.select("id", (F.sqrt(i + 0.5) * F.cos(i * GOLDEN)).alias("x"), (F.sqrt(i + 0.5) * F.sin(i * GOLDEN)).alias("y")), n, width, height)
+    return _fitted(r.select("id", (F.sqrt((i + 1) / max(n, 1)) * F.cos(i * GOLDEN)).alias("x"), (F.sqrt((i + 1) / max(n, 1)) * F.sin(i * GOLDEN)).alias("y")), n, width, height)
 
 
 def circular(nodes: DataFrame, width: float = 1200, height: float = 800) -> DataFrame:

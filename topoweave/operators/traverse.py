@@ -2,7 +2,7 @@
 
 Each round joins the frontier (only new vertices) with the edges and leaves out
 what was met before; the frontier is written to the shared folder, so lineage
-stays one round long.  Vertices are visited once, so work is bounded by the edges
+stays one round long and a lost executor costs no round.  Vertices are visited once, so work is bounded by the edges
 reached, and a hot vertex costs its edges once.
 
 Defined results: a seed without edges reaches itself only; self loops and
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoweave.plans.tables import keep
+from topoweave.plans.tables import drop, keep
 
 
 def directed(edges: DataFrame, direction: str = "forward") -> DataFrame:
@@ -27,46 +27,41 @@ def directed(edges: DataFrame, direction: str = "forward") -> DataFrame:
     return steps.where("u != v").distinct()
 
 
+#: Tables of single steps after which they are written as one.
+LEVELS = 8
+
+
 def distances(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(id, depth) of everything reached from ``seeds`` (column id) within ``max_depth`` steps; seeds have depth 0."""
-    frontier, _ = keep(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    levels, depth = [frontier], 0
+    """(id, depth) of everything reached from ``seeds`` (column id) within ``max_depth`` steps; seeds have depth 0.
+
+    A table per step.  The steps lie partitioned by their start for all rounds (evicted parts are made again from
+    their table), so that only the frontier moves: sent to all while it is small, by the size of its table, else
+    shuffled to where its steps lie.
+    """
+    spark = steps.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_start = steps.select("u", "v").repartition(parts, "u").persist()
+    frontier, path = keep(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    levels, paths, depth = [frontier], [path], 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         met = reduce(DataFrame.union, levels).select(F.col("id").alias("v"))
-        nxt = steps.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select("v").distinct().join(met, "v", "left_anti")
-        frontier, _ = keep(nxt.select(F.col("v").alias("id"), F.lit(depth).alias("depth")), "frontier")
-        levels.append(frontier)
-        if depth % 8 == 0:  # few, longer tables instead of many short ones
-            levels = [keep(reduce(DataFrame.union, levels).coalesce(8), "reached")[0]]
+        nxt = by_start.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select("v").distinct().join(met, "v", "left_anti")
+        frontier, path = keep(nxt.select(F.col("v").alias("id"), F.lit(depth).alias("depth")), "frontier")
+        levels.append(frontier), paths.append(path)
+        if len(levels) > LEVELS:
+            # Adaptive execution fits the number of files to the rows.
+            merged, path = keep(reduce(DataFrame.union, levels[:-1]).repartition("id"), "reached")
+            for p in paths[:-1]:
+                drop(spark, p)
+            levels, paths = [merged, frontier], [path, paths[-1]]
+    by_start.unpersist()
     return reduce(DataFrame.union, levels)
 
 
-#: Steps taken for each table that is written where depths are not wanted.
-HOPS = 4
-
-
 def closure(steps: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id) of everything reached from ``seeds``, the seeds included.
-
-    Several steps are taken at once; only what the last of them met first goes on, as the vertices of the steps
-    before it were walked on from already.
-    """
-    seen, _ = keep(seeds.select("id").distinct(), "reached")
-    frontier, parts = seen, [seen]
-    while not frontier.isEmpty():
-        wave = [frontier]
-        for _ in range(HOPS):
-            step = steps.join(wave[-1].select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-            wave.append(step.join(seen, "id", "left_anti"))
-        numbered = reduce(DataFrame.union, [w.withColumn("hop", F.lit(k)) for k, w in enumerate(wave[1:])])
-        new, _ = keep(numbered.groupBy("id").agg(F.min("hop").alias("hop")), "reached")
-        frontier = new.where(F.col("hop") == HOPS - 1).select("id")
-        parts.append(new.select("id"))
-        if len(parts) > 8:  # few, longer tables instead of many short ones
-            parts = [keep(reduce(DataFrame.union, parts).coalesce(8), "reached")[0]]
-        seen = reduce(DataFrame.union, parts)
-    return seen
+    """(id) of everything reached from ``seeds``, the seeds included."""
+    return distances(steps, seeds).select("id")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_depth: int | None = None) -> DataFrame:
@@ -77,6 +72,30 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_de
     return closure(keep(steps, "steps")[0], seeds)
 
 
+def connected(edges: DataFrame, a: str, b: str) -> bool:
+    """Whether a way leads from one vertex to the other, in either direction."""
+    spark = edges.sparkSession
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    return any(not reach(edges, one(x)).where(F.col("id") == y).isEmpty() for x, y in ((a, b), (b, a)))
+
+
+def either_way(paths, edges: DataFrame, source: str, target: str, *args) -> DataFrame:
+    """``paths(edges, source, target, ..)``, or of the way back where it gives no row."""
+    there, _ = keep(paths(edges, source, target, *args), "paths-there")
+    return paths(edges, target, source, *args) if there.isEmpty() else there
+
+
+def reachable(edges: DataFrame, source: str, target: str, max_depth: int = 20) -> DataFrame:
+    """One row (reachable, path_length, path, reason): whether a path of at most ``max_depth`` steps leads to the target."""
+    spark = edges.sparkSession
+    path, _ = keep(shortest_path(edges, source, target), "reach-path")
+    n = F.size("path") - 1
+    row = spark.createDataFrame([(source, target)], "source string, target string").join(path, how="left")  # at most one row each
+    ok = F.col("path").isNotNull() & (n <= max_depth)
+    reason = F.when(F.col("path").isNull(), "no path").when(n > max_depth, F.format_string("path of %d steps, at most %d asked for", n, F.lit(max_depth)))
+    return row.select("source", "target", F.coalesce(ok, F.lit(False)).alias("reachable"), F.when(F.col("path").isNotNull(), n).alias("path_length"), F.when(ok, F.col("path")).alias("path"), reason.alias("reason"))
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
     """One row (path): the shortest directed path, of equals the first in order of ids; no row if there is none."""
     spark = edges.sparkSession
@@ -128,6 +147,18 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None
     return all_paths.select("path")
 
 
+def call_chain(edges: DataFrame, source: str, target: str, cutoff: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(id, role) of the vertices on any simple path of calls, or of the way back if there is none; (source, target, role) of the edges among them."""
+    spark = edges.sparkSession
+    calls = edges.where("edge_type = 'calls'")
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    on = either_way(lambda e, a, b: simple_paths(e, one(a), one(b), cutoff), calls, source, target).select(F.explode("path").alias("id")).distinct()
+    role = F.when(F.col("id") == source, "origin").when(F.col("id") == target, "destination").otherwise("passthrough")
+    roles, _ = keep(on.select("id", role.alias("role")), "chain")
+    inner = calls.join(roles.select(F.col("id").alias("source")), "source", "left_semi").join(roles.select(F.col("id").alias("target")), "target", "left_semi")
+    return roles, inner.select("source", "target", F.lit("flow").alias("role")).distinct()
+
+
 def trace_function(edges: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame]:
     """(id, role) of everything that calls the function or is called by it, and (source, target, role) of the edges among them."""
     spark = edges.sparkSession

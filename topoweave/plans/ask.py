@@ -62,5 +62,13 @@ def banner(result: DataFrame) -> DataFrame:
     return result.groupBy("symbol_type").agg(F.count("*").alias("n"))
 
 
+def context(result: DataFrame, text: str) -> DataFrame:
+    """(part, value, n): what a result holds, why (the words asked) and where (its top modules)."""
+    what = result.groupBy(F.col("symbol_type").alias("value")).agg(F.count("*").alias("n")).select(F.lit("what").alias("part"), "value", "n")
+    where = result.groupBy(F.substring_index("qualified_name", ".", 1).alias("value")).agg(F.count("*").alias("n")).select(F.lit("where").alias("part"), "value", "n")
+    why = result.agg(F.count("*").alias("n")).select(F.lit("why").alias("part"), F.lit(text).alias("value"), "n")
+    return what.unionByName(why).unionByName(where)
+
+
 def shown(result: DataFrame) -> DataFrame:
     return result.select(*[c for c in SHOWN if c in result.columns] or result.columns)

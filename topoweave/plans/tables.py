@@ -35,22 +35,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; one of our own only where none is set."""
+    """The folder named by the session; one of our own only where none is set and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-topoweave-")
     return _own[app]
 
 
-def keep(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder; the table read back, and its path."""
+def keep(df: DataFrame, tag: str, *by: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder, in a folder per value of ``by``; the table read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns), path
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -8,10 +8,11 @@ from topoweave.operators import layout
 from topoweave.operators.centrality import betweenness, pagerank
 from topoweave.operators.components import components
 from topoweave.operators.cycles import all_cycles, cycles, is_cyclic, layers, strong_components
-from topoweave.operators.deadcode import dead_imports, dead_returns, dead_symbols, live
+from topoweave.operators.deadcode import EXEMPT, dead_imports, dead_returns, dead_symbols, live
 from topoweave.operators.graph import SHOWN, induced
 from topoweave.operators.similarity import bands, candidates, classes, count_cosine, duplicate_groups, neighbourhood, neighbourhood_kernel, record_pairs, scored
-from topoweave.operators.traverse import distances, directed, reach, shortest_path, simple_paths, trace_function, trace_variable
+from topoweave.operators.fingerprints import flags, max_depth, minhash, node_counts, shingles
+from topoweave.operators.traverse import call_chain, connected, directed, distances, reach, reachable, shortest_path, simple_paths, trace_function, trace_variable
 from topoweave.plans.tables import keep, table
 from topoweave.queries import graph_queries as gq
 from topoweave.queries.graph_sql import NODE, reached, sql
@@ -23,7 +24,7 @@ SQL: dict[str, str] = {}
 
 def register(name: str, oracle: str | None = None, graph: bool = True):
     def add(f):
-        QUERIES[name] = (lambda spark, d: f(gq.current_graph(spark, d), spark, d)) if graph else f
+        QUERIES[name] = (lambda spark, d: f(gq.kept_graph(spark, d), spark, d)) if graph else f
         if oracle:
             SQL[name] = oracle
         return f
@@ -149,6 +150,47 @@ def call_chain_deep(g, spark, d):
     return simple_paths(inner, _one(spark, m), _one(spark, far), 8).select(F.explode("path").alias("id")).distinct()
 
 
+@register("g9_connected", sql(f"SELECT m.id AS a, h.id AS b, h.id IN (SELECT id FROM ahead) OR h.id IN (SELECT id FROM behind) AS connected FROM mid m, hub h", reached("ahead", MID), reached("behind", MID, backward=True)))
+def _(g, spark, d):
+    m, h = gq.middle(g), gq.hub(g)
+    return spark.createDataFrame([(m, h, connected(g.edges, m, h))], "a string, b string, connected boolean")
+
+
+@register("g10_reachable", sql("SELECT m.id AS source, f.id AS target, true AS reachable, len(w.path) - 1 AS path_length, w.path, CAST(NULL AS VARCHAR) AS reason FROM mid m, far f, (SELECT path FROM walk WHERE id IN (SELECT id FROM far) ORDER BY len(path), path LIMIT 1) w", _FAR, _WALK))
+def _(g, spark, d):
+    m, far, inner = _far(g, spark)
+    return reachable(inner, m, far, 20)
+
+
+@register("g12_chain_roles", sql("SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM mid) THEN 'origin' WHEN id IN (SELECT id FROM far) THEN 'destination' ELSE 'passthrough' END AS role FROM (SELECT unnest(path) AS id FROM walk WHERE id IN (SELECT id FROM far)) x", _FAR, _WALK))
+def _(g, spark, d):
+    m, far, inner = _far(g, spark)
+    return call_chain(inner, m, far, 6)[0]
+
+
+@register("g18_path_labels", sql("SELECT array_to_string(list_transform(path, lambda x: string_split(x, '.')[-1]), ' > ') AS label, len(path) AS hops FROM walk WHERE id IN (SELECT id FROM far) ORDER BY len(path), path LIMIT 1", _FAR, _WALK))
+def _(g, spark, d):
+    m, far, inner = _far(g, spark)
+    return shortest_path(inner, m, far).select(F.array_join(F.transform("path", lambda x: F.substring_index(x, ".", -1)), " > ").alias("label"), F.size("path").alias("hops"))
+
+
+@register("g1_subgraph_edges", sql("SELECT source, target, edge_type FROM ge WHERE source IN (SELECT id FROM b) AND target IN (SELECT id FROM b)", f"""b(id, d) AS ({MID.replace('id', 'id, 0', 1)}
+  UNION SELECT e.o, r.d + 1 FROM b r JOIN (SELECT source AS s, target AS o FROM ge WHERE edge_type = 'calls' UNION SELECT target, source FROM ge WHERE edge_type = 'calls') e ON e.s = r.id WHERE r.d < 2)"""))
+def _(g, spark, d):
+    ids, _ = keep(distances(directed(g.edges_of_types("calls"), "both"), _one(spark, gq.middle(g)), 2), "around")
+    return induced(g.edges, ids).select("source", "target", "edge_type")
+
+
+_AROUND = f"""b(id, d) AS ({MID.replace('id', 'id, 0', 1)} UNION SELECT e.o, r.d + 1 FROM b r JOIN (SELECT source AS s, target AS o FROM ge UNION SELECT target, source FROM ge) e ON e.s = r.id WHERE r.d < 2)"""
+_VIS = "vis AS (SELECT id FROM cn WHERE symbol_type IN ('function', 'method') AND NOT is_dead AND NOT is_proposed AND id IN (SELECT id FROM b))"
+
+
+def _view(g, spark):
+    m = gq.middle(g)
+    around, _ = keep(distances(directed(g.edges, "both"), _one(spark, m), 2).select("id"), "around")
+    return g.snapshot("function", False, False, around, trace_function(g.edges, m)[0])
+
+
 _UPDOWN = (reached("up", MID, "e.edge_type = 'calls'", backward=True), reached("down", MID, "e.edge_type = 'calls'"))
 _ROLES = "roles AS (SELECT id, CASE WHEN id IN (SELECT id FROM mid) THEN 'origin' WHEN id IN (SELECT id FROM up) AND id IN (SELECT id FROM down) THEN 'mutator' WHEN id IN (SELECT id FROM up) THEN 'passthrough' ELSE 'destination' END AS role FROM (SELECT id FROM up UNION SELECT id FROM down) x)"
 
@@ -169,12 +211,56 @@ def _variable(g):
     return e.orderBy(F.desc("n"), "v").first()["v"]
 
 
-@register("g13_trace_variable")
+@register("y5_snapshot_nodes", sql("""SELECT v.id, CASE min(CASE r.role WHEN 'origin' THEN 1 WHEN 'mutator' THEN 2 WHEN 'passthrough' THEN 3 WHEN 'destination' THEN 4 END) WHEN 1 THEN 'origin' WHEN 2 THEN 'mutator' WHEN 3 THEN 'passthrough' WHEN 4 THEN 'destination' END AS role
+  FROM vis v LEFT JOIN (SELECT a.shown, x.role FROM roles x JOIN anc3 a ON a.id = x.id) r ON r.shown = v.id GROUP BY 1""", _AROUND, _VIS, *_UPDOWN, _ROLES, gq._ANC.replace("anc AS", "anc3 AS").replace("SELECT source AS id FROM ge UNION SELECT target FROM ge", "SELECT id FROM roles")))
+def _(g, spark, d):
+    """The view of live functions around the middle, with the roles of its trace."""
+    return _view(g, spark)[0].select("id", "role")
+
+
+@register("y5_snapshot_edges", sql("""SELECT DISTINCT a.shown AS source, b2.shown AS target, e.edge_type FROM ge e JOIN anc a ON a.id = e.source JOIN anc b2 ON b2.id = e.target
+  WHERE e.edge_type <> 'contains' AND a.shown <> b2.shown AND NOT e.is_dead AND NOT e.is_proposed
+  UNION SELECT source, target, edge_type FROM ge WHERE edge_type = 'contains' AND NOT is_dead AND NOT is_proposed AND source IN (SELECT id FROM vis) AND target IN (SELECT id FROM vis)""", _AROUND, _VIS, gq._ANC))
+def _(g, spark, d):
+    return _view(g, spark)[1]
+
+
+@register("a10_trace_role_counts", sql("SELECT role, count(*) AS n FROM roles GROUP BY 1", *_UPDOWN, _ROLES))
+def _(g, spark, d):
+    return trace_function(g.edges, gq.middle(g))[0].groupBy("role").agg(F.count("*").alias("n"))
+
+
+_TRACE_EDGES = """te AS (SELECT source, target, CASE min(CASE edge_type WHEN 'writes' THEN 0 WHEN 'reads' THEN 1 ELSE 2 END) WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'flow' END AS role
+  FROM ge WHERE edge_type <> 'contains' AND source IN (SELECT id FROM roles) AND target IN (SELECT id FROM roles) GROUP BY 1, 2)"""
+
+
+@register("j18_module_edge_roles", sql("""SELECT a.shown AS source, b.shown AS target, CASE min(CASE t.role WHEN 'write' THEN 0 WHEN 'read' THEN 1 ELSE 2 END) WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'flow' END AS role
+  FROM te t JOIN anc a ON a.id = t.source JOIN anc b ON b.id = t.target WHERE a.shown <> b.shown GROUP BY 1, 2""", *_UPDOWN, _ROLES, _TRACE_EDGES, "vis AS (SELECT id FROM cn WHERE symbol_type = 'module')", gq._ANC))
+def _(g, spark, d):
+    """Roles of the middle's trace on edges between modules."""
+    return g.rolled_up_edge_roles(trace_function(g.edges, gq.middle(g))[1], g.visible("module"))
+
+
+_VAR = ["""vn AS (SELECT string_split(target, '.')[-1] AS v FROM ge WHERE edge_type IN ('reads', 'writes') GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
+  """fl AS (SELECT source, target, edge_type, line FROM ge WHERE edge_type IN ('reads', 'writes') AND string_split(target, '.')[-1] IN (SELECT v FROM vn))""",
+  """en AS (SELECT source AS id, bool_or(edge_type = 'writes') AS w, bool_or(edge_type = 'reads') AS r, min(CASE WHEN edge_type = 'writes' THEN coalesce(line, 9999) END) AS fline FROM fl GROUP BY 1)""",
+  """pe AS (SELECT DISTINCT source, target FROM ge WHERE edge_type NOT IN ('contains', 'inherits') AND source <> target)"""]
+for _n, _seed, _from, _to in (("wa", "w", "source", "target"), ("rb", "r", "target", "source"), ("ra", "r", "source", "target"), ("wb", "w", "target", "source")):
+    _VAR.append(f"{_n}(id, d) AS (SELECT id, 0 FROM en WHERE {_seed} UNION SELECT e.{_to}, x.d + 1 FROM {_n} x JOIN pe e ON e.{_from} = x.id WHERE x.d < 5)")
+_VAR += ["""onp AS (SELECT a.id FROM (SELECT id, min(d) AS d FROM wa GROUP BY 1) a JOIN (SELECT id, min(d) AS d FROM rb GROUP BY 1) b ON a.id = b.id WHERE a.d + b.d BETWEEN 1 AND 5
+  UNION SELECT a.id FROM (SELECT id, min(d) AS d FROM ra GROUP BY 1) a JOIN (SELECT id, min(d) AS d FROM wb GROUP BY 1) b ON a.id = b.id WHERE a.d + b.d BETWEEN 1 AND 5 UNION SELECT id FROM en UNION SELECT target FROM fl)""",
+  """fw AS (SELECT id FROM en WHERE w AND NOT r ORDER BY fline, id LIMIT 1)"""]
+
+
+@register("g13_trace_variable", sql("""SELECT o.id, CASE WHEN o.id IN (SELECT target FROM fl) THEN 'origin' WHEN e.w AND e.r THEN 'mutator' WHEN e.w THEN CASE WHEN o.id IN (SELECT id FROM fw) THEN 'origin' ELSE 'mutator' END
+  WHEN e.r THEN CASE WHEN o.id IN (SELECT source FROM ge WHERE edge_type = 'calls' AND source <> target AND target IN (SELECT id FROM onp)) THEN 'passthrough' ELSE 'destination' END ELSE 'passthrough' END AS role
+  FROM onp o LEFT JOIN en e ON e.id = o.id""", *_VAR))
 def _(g, spark, d):
     return trace_variable(g.nodes, g.edges, _variable(g))[0]
 
 
-@register("g15_trace_variable_edges")
+@register("g15_trace_variable_edges", sql("""SELECT source, target, CASE min(CASE edge_type WHEN 'writes' THEN 0 WHEN 'reads' THEN 1 ELSE 2 END) WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'flow' END AS role
+  FROM ge WHERE edge_type <> 'contains' AND source IN (SELECT id FROM onp) AND target IN (SELECT id FROM onp) GROUP BY 1, 2""", *_VAR))
 def _(g, spark, d):
     return trace_variable(g.nodes, g.edges, _variable(g))[1]
 
@@ -189,17 +275,33 @@ def _(g, spark, d):
     return g.nodes.select("id").join(reach(g.edges, g.nodes.where("symbol_type = 'module'")).select("id"), "id", "left_anti")
 
 
-@register("c1_clusters")
+# Least ids are passed on, one row a vertex.
+_CC = "cc(id, comp) USING KEY (id) AS (SELECT id, id FROM (SELECT source AS id FROM ge UNION SELECT target FROM ge) v UNION SELECT s.o, min(c.comp) FROM cc c JOIN und s ON s.s = c.id JOIN recurring.cc k ON k.id = s.o WHERE c.comp < k.comp GROUP BY 1)"
+_UND = "und AS (SELECT source AS s, target AS o FROM ge WHERE source <> target UNION SELECT target, source FROM ge WHERE source <> target)"
+
+
+@register("c1_clusters", sql("SELECT comp AS component, count(*) AS n FROM cc WHERE id IN (SELECT s FROM und) GROUP BY 1", _UND, _CC))
 def _(g, spark, d):
     return components(g.edges, "source", "target").groupBy("component").agg(F.count("*").alias("n"))
 
 
-@register("c2_circular_clusters")
+def _mutual(name, where="true"):
+    """SQL: (id, component) of the vertices on cycles, named by the least id that reaches them and is reached."""
+    return (f"{name}s AS (SELECT DISTINCT source AS a, target AS b FROM ge WHERE source <> target AND {where})", f"{name}r(a, b) AS (SELECT a, b FROM {name}s UNION SELECT r.a, s.b FROM {name}r r JOIN {name}s s ON s.a = r.b)",
+            f"{name} AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM {name}r x JOIN {name}r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)")
+
+
+@register("c2_circular_clusters", sql("SELECT id, component FROM scc", *_mutual("scc")))
 def _(g, spark, d):
     return strong_components(g.edges)
 
 
-@register("c3_dependency_layers")
+_LAYERS = """nm AS (SELECT v.id, coalesce(s.component, v.id) AS c FROM (SELECT source AS id FROM ge WHERE edge_type IN ('imports', 'inherits') UNION SELECT target FROM ge WHERE edge_type IN ('imports', 'inherits')) v LEFT JOIN dep s ON s.id = v.id),
+cs AS (SELECT DISTINCT a.c AS u, b.c AS v FROM deps s JOIN nm a ON a.id = s.a JOIN nm b ON b.id = s.b WHERE a.c <> b.c),
+lay(c, d) AS (SELECT DISTINCT c, 0 FROM nm UNION SELECT s.v, l.d + 1 FROM lay l JOIN cs s ON s.u = l.c)"""
+
+
+@register("c3_dependency_layers", sql("SELECT n.id, n.c AS component, max(l.d) AS layer FROM nm n JOIN lay l ON l.c = n.c GROUP BY 1, 2", *_mutual("dep", "edge_type IN ('imports', 'inherits')"), _LAYERS))
 def _(g, spark, d):
     i = g.edges_of_types("imports", "inherits")
     return layers(i, i.select(F.explode(F.array("source", "target")).alias("id")).distinct())
@@ -214,13 +316,19 @@ def _(g, spark, d):
     return cycles(g.edges_of_types("calls", "imports"), 4)
 
 
+@register("c3_all_layers")
+def all_layers(g, spark, d):
+    """Layers over relationships of every type."""
+    return layers(g.edges, g.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct())
+
+
 @register("c4_all_cycles")
 def _(g, spark, d):
     """Cycles of any length; those of components too dense to be walked to the end are flagged."""
     return all_cycles(g.edges_of_types("calls", "imports"))
 
 
-@register("c5_has_circular_dependencies")
+@register("c5_has_circular_dependencies", sql("SELECT EXISTS (SELECT 1 FROM cyc) OR EXISTS (SELECT 1 FROM ge WHERE edge_type IN ('calls', 'imports') AND source = target) AS cyclic", *_mutual("cyc", "edge_type IN ('calls', 'imports')")))
 def _(g, spark, d):
     return spark.createDataFrame([(is_cyclic(g.edges_of_types("calls", "imports")),)], "cyclic boolean")
 
@@ -252,7 +360,7 @@ def _(g, spark, d):
     return betweenness(i, v).where("score > 0")
 
 
-_EX = "name IN ('__init__', '__new__', '__del__', '__repr__', '__str__', '__enter__', '__exit__', '__aenter__', '__aexit__', '__iter__', '__next__', '__len__', '__getitem__', '__setitem__', '__contains__', '__hash__', '__eq__', '__ne__', '__lt__', '__gt__', '__le__', '__ge__', '__bool__', '__call__', '__get__', '__set__', '__post_init__', 'main', 'setup', 'teardown', 'setUp', 'tearDown', 'setUpClass', 'tearDownClass')"
+_EX = "name IN (" + ", ".join(f"'{x}'" for x in EXEMPT) + ")"
 _LIVE = f"""pn AS (SELECT * FROM cn WHERE NOT is_proposed),
 flow AS (SELECT source, target FROM ge WHERE edge_type IN ('calls', 'reads') UNION SELECT source, target FROM ge WHERE edge_type = 'contains' AND source IN (SELECT id FROM pn WHERE symbol_type = 'class')),
 lv(id) AS (SELECT id FROM pn WHERE symbol_type = 'module' OR {_EX} UNION SELECT f.target FROM lv r JOIN flow f ON f.source = r.id),
@@ -288,7 +396,13 @@ def _(g, spark, d):
     return dead_imports(g)
 
 
-@register("a5_health")
+@register("a5_health", sql("""SELECT count(*) AS total_nodes, count(*) FILTER (is_dead) AS dead,
+  count(*) FILTER (symbol_type = 'module') AS modules, count(*) FILTER (symbol_type = 'class') AS classes, count(*) FILTER (symbol_type = 'function') AS functions,
+  count(*) FILTER (symbol_type = 'method') AS methods, count(*) FILTER (symbol_type = 'variable') AS variables, count(*) FILTER (symbol_type = 'parameter') AS parameters,
+  (SELECT count(*) FROM ge) AS total_edges, (SELECT count(*) FROM ge WHERE edge_type = 'calls' AND target NOT IN (SELECT id FROM cn)) AS external_calls,
+  (SELECT count(DISTINCT component) FROM scc) AS n_circular, (SELECT count(DISTINCT comp) FROM cc WHERE id IN (SELECT s FROM und)) AS n_clusters,
+  count(*) FILTER (id NOT IN (SELECT id FROM r)) AS truly_dead, (SELECT count(*) FILTER (target IN (SELECT id FROM cn)) / count(*) FROM ge WHERE edge_type IN ('reads', 'writes')) AS share FROM cn""",
+  _UND, _CC, *_mutual("scc"), reached("r", "SELECT id FROM cn WHERE symbol_type = 'module'")))
 def _(g, spark, d):
     """One row of figures; the ranked lists are queries of their own."""
     strong, _ = keep(strong_components(g.edges), "strong")
@@ -323,15 +437,51 @@ def _(spark, d):
     return _fingerprints(spark, d).select("fp_id", F.size(neighbourhood()).cast("bigint").alias("n"))
 
 
-@register("m10_candidate_scores", graph=False)
+def _jac(a, b):
+    a, b = (f"list_distinct(list_filter(coalesce({x}, []), lambda v: v IS NOT NULL))" for x in (a, b))
+    return f"len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0)"
+
+
+def _short(f, label):
+    return f"list_transform(list_filter(coalesce({f}, []), lambda v: v IS NOT NULL), lambda v: '{label}' || string_split(v, '.')[-1])"
+
+
+_NEAR = f"list_distinct(list_concat({_short('callees', 'calls:')}, {_short('reads', 'reads:')}, {_short('writes', 'writes:')}, {_short('callers', 'caller:')}))"
+_SCORED = f"""bd AS (SELECT fp_id, b, minhash[b * 5 + 1:b * 5 + 5] AS v FROM (SELECT fp_id, minhash, unnest(generate_series(0, 19)) AS b FROM fp WHERE len(minhash) = 100) x),
+nd AS (SELECT fp_id, i, ast_tree[i].depth AS d, ast_tree[i].label AS label FROM (SELECT fp_id, ast_tree, unnest(generate_series(1, len(ast_tree))) AS i FROM fp WHERE len(ast_tree) > 0) x),
+pa AS (SELECT a.*, b.i AS pi, b.label AS pl FROM nd a ASOF LEFT JOIN nd b ON a.fp_id = b.fp_id AND a.d - 1 = b.d AND a.i > b.i),
+sb AS (SELECT a.*, c.i AS si, c.label AS sl FROM pa a ASOF LEFT JOIN nd c ON a.fp_id = c.fp_id AND a.d = c.d AND a.i > c.i),
+gr AS (SELECT s.fp_id, coalesce(q.pl, '') || chr(1) || coalesce(s.pl, '') || chr(1) || CASE WHEN s.si > coalesce(s.pi, 0) THEN s.sl ELSE '' END || chr(1) || s.label AS g FROM sb s LEFT JOIN pa q ON q.fp_id = s.fp_id AND q.i = s.pi),
+gn AS (SELECT fp_id, g, row_number() OVER (PARTITION BY fp_id, g) AS nth FROM gr), gc AS (SELECT fp_id, count(*) AS n FROM gr GROUP BY 1),
+cand AS (__CAND__),
+gb AS (SELECT c.a, c.b, count(*) AS k FROM cand c JOIN gn x ON x.fp_id = c.a JOIN gn y ON y.fp_id = c.b AND x.g = y.g AND x.nth = y.nth GROUP BY 1, 2),
+f2 AS (SELECT *, {_NEAR} AS nb, list_sum(list_transform(map_values(ast_node_counts), lambda x: CAST(x AS DOUBLE) * x)) AS sq FROM fp),
+sg AS (SELECT c.a, c.b, [
+  CASE WHEN cardinality(x.ast_node_counts) > 0 AND cardinality(y.ast_node_counts) > 0 THEN coalesce(list_sum(list_transform(map_keys(x.ast_node_counts), lambda k: CAST(x.ast_node_counts[k] AS DOUBLE) * coalesce(y.ast_node_counts[k], 0))) / (sqrt(x.sq) * sqrt(y.sq)), 0) END,
+  CASE WHEN len(x.nb) = 0 OR len(y.nb) = 0 THEN NULL WHEN 2 * len(list_intersect(x.nb, y.nb)) = len(x.nb) + len(y.nb) THEN 1.0 ELSE (1 + 2 * len(list_intersect(x.nb, y.nb))) / CAST(7 + 4 * (len(x.nb) + len(y.nb)) - 2 * len(list_intersect(x.nb, y.nb)) AS DOUBLE) END,
+  {_jac('x.callees', 'y.callees')}, {_jac('x.arg_names', 'y.arg_names')},
+  CASE WHEN coalesce(x.arg_count, 0) + coalesce(y.arg_count, 0) > 0 THEN 1 - abs(coalesce(x.arg_count, 0) - coalesce(y.arg_count, 0)) / CAST(coalesce(x.arg_count, 0) + coalesce(y.arg_count, 0) AS DOUBLE) END,
+  (CAST(x.has_loops IS NOT DISTINCT FROM y.has_loops AS INT) + CAST(x.has_conditionals IS NOT DISTINCT FROM y.has_conditionals AS INT) + CAST(x.has_try_except IS NOT DISTINCT FROM y.has_try_except AS INT) + CAST(x.has_yield IS NOT DISTINCT FROM y.has_yield AS INT) + CAST(x.has_await IS NOT DISTINCT FROM y.has_await AS INT)) / 5.0,
+  {_jac('x.reads', 'y.reads')},
+  CASE WHEN coalesce(x.line_count, 0) > 0 AND coalesce(y.line_count, 0) > 0 THEN 1 - abs(x.line_count - y.line_count) / CAST(greatest(x.line_count, y.line_count) AS DOUBLE) END,
+  CASE WHEN coalesce(x.max_nesting_depth, 0) > 0 OR coalesce(y.max_nesting_depth, 0) > 0 THEN 1 - abs(coalesce(x.max_nesting_depth, 0) - coalesce(y.max_nesting_depth, 0)) / CAST(greatest(coalesce(x.max_nesting_depth, 0), coalesce(y.max_nesting_depth, 0)) AS DOUBLE) END,
+  CASE WHEN g.k > 0 THEN 2.0 * g.k / (gx.n + gy.n) END] AS s, [2.0, 2.5, 2.0, 1.5, 0.5, 1.5, 1.0, 0.5, 0.5, 3.5] AS w
+  FROM cand c JOIN f2 x ON x.fp_id = c.a JOIN f2 y ON y.fp_id = c.b LEFT JOIN gb g ON g.a = c.a AND g.b = c.b LEFT JOIN gc gx ON gx.fp_id = c.a LEFT JOIN gc gy ON gy.fp_id = c.b),
+sc AS (SELECT a, b, round(list_sum(list_transform(generate_series(1, 10), lambda i: coalesce(s[i], 0) * w[i])) / list_sum(list_transform(generate_series(1, 10), lambda i: CASE WHEN s[i] IS NULL THEN 0 ELSE w[i] END)), 9) AS score FROM sg)"""
+_BANDED = "SELECT DISTINCT x.fp_id AS a, y.fp_id AS b FROM bd x JOIN bd y ON x.b = y.b AND x.v = y.v AND x.fp_id < y.fp_id"
+_ONE = "SELECT (SELECT min(fp_id) FROM fp) AS a, fp_id AS b FROM fp WHERE fp_id > (SELECT min(fp_id) FROM fp)"
+
+
+@register("m10_candidate_scores", f"WITH {_FP}, {_SCORED.replace('__CAND__', _BANDED)} SELECT a, b, score FROM sc WHERE score >= 0.6", graph=False)
 def _(spark, d):
     """Every pair of records of one band with a score of at least 0.6."""
     fp = _fingerprints(spark, d)
     same, _ = keep(classes(fp), "classes")
-    return record_pairs(keep(scored(candidates(fp, same=same), fp, least=0.6), "similar-pairs")[0], same)
+    return record_pairs(keep(scored(candidates(fp, same=same), fp, least=0.6), "similar-pairs")[0], same).withColumn("score", F.round("score", 9))
 
 
-@register("m11_duplicate_groups", graph=False)
+@register("m11_duplicate_groups", f"""WITH RECURSIVE {_FP}, {_SCORED.replace('__CAND__', _BANDED)}, und AS (SELECT a AS s, b AS o FROM sc WHERE score >= 0.6 UNION SELECT b, a FROM sc WHERE score >= 0.6),
+cc(id, comp) USING KEY (id) AS (SELECT s, s FROM (SELECT DISTINCT s FROM und) v UNION SELECT u.o, min(c.comp) FROM cc c JOIN und u ON u.s = c.id JOIN recurring.cc k ON k.id = u.o WHERE c.comp < k.comp GROUP BY 1) SELECT id, comp AS group FROM cc""", graph=False)
 def _(spark, d):
     return duplicate_groups(_fingerprints(spark, d), 0.6)[0]
 
@@ -341,13 +491,40 @@ def _(spark, d):
     return duplicate_groups(_fingerprints(spark, d), 0.6)[1]
 
 
-@register("m12_similar_to", graph=False)
+@register("m12_similar_to", f"WITH {_FP}, {_SCORED.replace('__CAND__', _ONE)} SELECT a, b, score FROM sc WHERE score >= 0.5 ORDER BY score DESC, b LIMIT 10", graph=False)
 def _(spark, d):
     """The ten fingerprints most similar to the first one, all being scored."""
     fp = _fingerprints(spark, d)
     one = fp.agg(F.min("fp_id")).first()[0]
     pairs = fp.where(F.col("fp_id") != one).select(F.lit(one).cast("bigint").alias("a"), F.col("fp_id").alias("b"))
-    return scored(pairs, fp, least=0.5).orderBy(F.desc("score"), "b").limit(10)
+    return scored(pairs, fp, least=0.5, one=fp.where(F.col("fp_id") == one)).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "b").limit(10)
+
+
+_SHAPE = ["ast_tree", "arg_count", "has_loops", "has_conditionals", "has_try_except", "has_yield", "has_await"]
+
+
+@register("a14_tree_counts", f"""WITH {_FP}, n AS (SELECT fp_id, unnest(ast_tree) AS x FROM fp) SELECT fp_id, x.label AS label, count(*) AS n FROM n GROUP BY 1, 2""", graph=False)
+def _(spark, d):
+    """Node counts of every stored tree, made again from the tree."""
+    return _fingerprints(spark, d).select("fp_id", F.explode(node_counts(F.col("ast_tree"))).alias("label", "n")).withColumn("n", F.col("n").cast("bigint"))
+
+
+@register("a15_tree_flags", f"""WITH {_FP}, n AS (SELECT fp_id, unnest(ast_tree) AS x FROM fp) SELECT fp_id, max(x.depth) AS depth, bool_or(x.label IN ('For', 'While', 'AsyncFor')) AS has_loops, bool_or(x.label IN ('If', 'IfExp')) AS has_conditionals,
+  bool_or(x.label IN ('Try', 'ExceptHandler')) AS has_try_except, bool_or(x.label IN ('Yield', 'YieldFrom')) AS has_yield, bool_or(x.label = 'Await') AS has_await FROM n GROUP BY 1""", graph=False)
+def _(spark, d):
+    t = F.col("ast_tree")
+    return _fingerprints(spark, d).where(F.size(t) > 0).select("fp_id", max_depth(t).alias("depth"), *[c.alias(k) for k, c in flags(t).items()])
+
+
+@register("m4_minhash", f"""WITH {_FP}, nd AS (SELECT fp_id, i, ast_tree[i].depth AS d, ast_tree[i].label AS label FROM (SELECT fp_id, ast_tree, unnest(generate_series(1, len(ast_tree))) AS i FROM fp WHERE len(ast_tree) > 0) x),
+pa AS (SELECT a.*, b.label AS pl FROM nd a ASOF LEFT JOIN nd b ON a.fp_id = b.fp_id AND a.d - 1 = b.d AND a.i > b.i),
+sh AS (SELECT fp_id, 'ast:' || label AS s FROM nd WHERE d <= 6 UNION SELECT fp_id, 'ast:' || pl || '>' || label FROM pa WHERE d BETWEEN 1 AND 7 UNION SELECT fp_id, 'args:' || coalesce(arg_count, 0) FROM fp WHERE len(ast_tree) > 0
+  UNION SELECT fp_id, 'flow:' || f FROM (SELECT fp_id, unnest(list_filter([CASE WHEN has_loops THEN 'has_loops' END, CASE WHEN has_conditionals THEN 'has_conditionals' END, CASE WHEN has_try_except THEN 'has_try_except' END, CASE WHEN has_yield THEN 'has_yield' END, CASE WHEN has_await THEN 'has_await' END], lambda v: v IS NOT NULL)) AS f FROM fp WHERE len(ast_tree) > 0) x)
+SELECT fp_id, seed, min(CAST('0x' || substr(md5(seed || ':' || s), 1, 8) AS BIGINT)) AS h FROM sh, (SELECT unnest(generate_series(0, 99)) AS seed) k GROUP BY 1, 2""", graph=False)
+def _(spark, d):
+    """Signatures made from the stored trees, flags and argument counts, a row per seed."""
+    fp = keep(_fingerprints(spark, d).where("size(ast_tree) > 0").select("fp_id", shingles(F.col("ast_tree"), {k: F.col(k) for k in _SHAPE[2:]}, F.col("arg_count")).alias("s")), "shingles")[0]
+    return fp.select("fp_id", F.posexplode(minhash(F.col("s"))).alias("seed", "h"))
 
 
 @register("m9_count_cosines", f"""WITH {_FP}, one AS (SELECT ast_node_counts AS m FROM fp ORDER BY fp_id LIMIT 1),
@@ -398,7 +575,7 @@ def _rounded(df):
     return df.select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
-@register("l2_spiral", sql(_FIT, "rk AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM cn)", "p AS (SELECT id, n, sqrt(i + 0.5) * cos(i * pi() * (3 - sqrt(5))) AS x, sqrt(i + 0.5) * sin(i * pi() * (3 - sqrt(5))) AS y FROM rk)"))
+@register("l2_spiral", sql(_FIT, "rk AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM cn)", "p AS (SELECT id, n, sqrt((i + 1) / n) * cos(i * pi() * (3 - sqrt(5))) AS x, sqrt((i + 1) / n) * sin(i * pi() * (3 - sqrt(5))) AS y FROM rk)"))
 def _(g, spark, d):
     return _rounded(layout.spiral(g.nodes))
 

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from topoweave.functions.names import common_parts, jaccard, last_part, module_of_path, parent, prefixes
 from topoweave.operators.graph import SHOWN, PropertyGraph, proposal
-from topoweave.operators.resolve import resolve_targets
-from topoweave.plans.ask import ask, banner
+from topoweave.operators.resolve import BUILTIN_METHODS, resolve_targets
+from topoweave.plans.ask import ask, banner, context
 from topoweave.plans.tables import table
 from topoweave.queries.graph_sql import NODE, sql
 from topoweave.sources.files import SKIPPED, latest_files, snippets
-from topoweave.sources.tables import current_edges, current_graph, current_nodes
+from topoweave.sources.tables import current_edges, current_nodes, kept_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,7 +27,7 @@ SQL: dict[str, str] = {}
 
 def register(name: str, oracle: str | None = None):
     def add(f: Callable[[PropertyGraph, SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, d: f(current_graph(spark, d), spark, d)
+        QUERIES[name] = lambda spark, d: f(kept_graph(spark, d), spark, d)
         if oracle:
             SQL[name] = oracle
         return f
@@ -114,12 +114,14 @@ def _(g, spark, d):
     return shown(g.resolve("flush"))
 
 
-@register("f18_functions_returning", """SELECT node_id, name, return_annotation FROM fingerprints
-WHERE fp_id IN (SELECT max(fp_id) FROM fingerprints GROUP BY node_id) AND return_annotation = 'bool'""")
+@register("f18_functions_returning", """WITH fp AS (SELECT * FROM fingerprints WHERE fp_id IN (SELECT max(fp_id) FROM fingerprints GROUP BY node_id))
+SELECT node_id, name, return_annotation FROM fp WHERE contains(lower(return_annotation), (SELECT lower(return_annotation) FROM fp WHERE return_annotation <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))""")
 def _(g, spark, d):
+    """Functions whose annotation holds the most frequent one."""
     fp = table(spark, d, "fingerprints").select("fp_id", "node_id", "name", "return_annotation")
     last = fp.groupBy("node_id").agg(F.max_by(F.struct("name", "return_annotation"), "fp_id").alias("r")).select("node_id", "r.*")
-    return last.where("return_annotation = 'bool'")
+    top = last.where("return_annotation != ''").groupBy(F.lower("return_annotation").alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(1)
+    return last.join(F.broadcast(top.select("kind")), F.lower("return_annotation").contains(F.col("kind"))).drop("kind")  # one row
 
 
 @register("f19_dead_functions_in_scope", sql(f"SELECT {NODE} FROM cn WHERE is_dead AND symbol_type IN ('function', 'method') AND starts_with(qualified_name, (SELECT p FROM busy))"))
@@ -173,8 +175,19 @@ def _(g, spark, d):
     return g.longest_known_prefix(lost, "target").where("known is not null").select("target", "known")
 
 
-@register("j6_resolve_edges", None)
+_KEYS = """kn AS (SELECT DISTINCT key, id FROM (SELECT id, unnest(list_append(list_transform(generate_series(2, len(p)), lambda k: array_to_string(p[k:], '.')), name)) AS key
+  FROM (SELECT id, name, string_split(id, '.') AS p FROM cn) x) y WHERE key IS NOT NULL)"""
+_BUILTIN = ", ".join(f"'{x}'" for x in BUILTIN_METHODS)
+_BEST = f"""hits AS (SELECT e.source, e.target, k.id, k.id = e.source AS own, len(string_split(k.id, '.')) AS parts,
+    len(list_filter(generate_series(1, least(len(string_split(e.source, '.')), len(string_split(k.id, '.')))), lambda i: string_split(e.source, '.')[1:i] = string_split(k.id, '.')[1:i])) AS common
+  FROM (SELECT DISTINCT source, target FROM ge WHERE target NOT IN (SELECT id FROM cn)) e JOIN kn k ON k.key = e.target
+  WHERE string_split(e.target, '.')[-1] NOT IN ({_BUILTIN}) AND (NOT contains(e.target, '.') OR split_part(e.target, '.', 1) IN (SELECT key FROM kn UNION SELECT id FROM cn))),
+best AS (SELECT source, target, id FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY own, common DESC, parts, id) AS rn FROM hits) x WHERE rn = 1)"""
+
+
+@register("j6_resolve_edges", sql("SELECT e.source, e.target, e.edge_type, coalesce(b.id, e.target) AS resolved FROM ge e LEFT JOIN best b ON b.source = e.source AND b.target = e.target", _KEYS, _BEST))
 def _(g, spark, d):
+    """Edges of known sources with the symbols their targets name."""
     return resolve_targets(g.edges, g.nodes).select("source", "target", "edge_type", "resolved")
 
 
@@ -290,13 +303,13 @@ def _(g, spark, d):
     return table(spark, d, "source_files").select("file_id", module_of_path(F.col("path")).alias("module_id"))
 
 
-_SKIP = ", ".join(f"'{x}'" for x in [*SKIPPED, "store"])
+_SKIP = ", ".join(f"'{x}'" for x in SKIPPED)
 
 
 @register("s2_pruned_sources", f"SELECT file_id, path FROM source_files WHERE NOT list_has_any(string_split(path, '/'), [{_SKIP}])")
 def _(g, spark, d):
-    """Sources outside skipped folders; ``store``, which the tables have, stands for a folder a project adds to the list."""
-    skip = F.array(*[F.lit(x) for x in [*SKIPPED, "store"]])
+    """Sources outside skipped folders."""
+    skip = F.array(*[F.lit(x) for x in SKIPPED])
     return table(spark, d, "source_files").where(~F.arrays_overlap(F.split("path", "/"), skip)).select("file_id", "path")
 
 
@@ -377,3 +390,68 @@ def _(g, spark, d):
   WHERE source <> '' AND target <> '' AND source NOT IN (SELECT id FROM nodes WHERE deleted_at IS NULL) AND source NOT IN (SELECT id FROM shared_nodes WHERE deleted_at IS NULL)""")
 def _(g, spark, d):
     return current_edges(spark, d).join(current_nodes(spark, d).select(F.col("id").alias("source")), "source", "left_anti").select("source", "target").distinct()
+
+
+@register("f5_edges_from_middle", sql("SELECT source, target, edge_type, line FROM ge WHERE source IN (SELECT id FROM mid)"))
+def _(g, spark, d):
+    return g.edges_from(middle(g)).select("source", "target", "edge_type", "line")
+
+
+@register("f17_focus", sql("""SELECT CASE WHEN n > 1 THEN 'ambiguous' ELSE 'unique' END AS status, id FROM (SELECT id, count(*) OVER () AS n FROM cn WHERE contains(lower(qualified_name), 'flush')) x ORDER BY id LIMIT 10"""))
+def _(g, spark, d):
+    return g.focus("flush")
+
+
+@register("y4_context", sql("""SELECT 'what' AS part, symbol_type AS value, count(*) AS n FROM cn WHERE contains(lower(qualified_name), 'flush') GROUP BY 2
+  UNION ALL SELECT 'why', 'flush', count(*) FROM cn WHERE contains(lower(qualified_name), 'flush') UNION ALL SELECT 'where', split_part(qualified_name, '.', 1), count(*) FROM cn WHERE contains(lower(qualified_name), 'flush') GROUP BY 2"""))
+def _(g, spark, d):
+    return context(ask(g, "flush"), "flush")
+
+
+@register("a9_link_members", sql("""SELECT DISTINCT CASE WHEN contains(target, '.') THEN split_part(target, '.', 1) || '.' || split_part(target, '.', 2) ELSE target END AS target_module, source, target, edge_type FROM (
+  SELECT e.target, e.edge_type, coalesce(n.qualified_name, e.target) AS tn, e.source FROM ge e LEFT JOIN cn n ON n.id = e.target WHERE NOT e.is_proposed) x
+  WHERE source IN (SELECT id FROM cn WHERE starts_with(qualified_name, (SELECT p FROM busy))) AND NOT starts_with(tn, (SELECT p FROM busy))"""))
+def _(g, spark, d):
+    """The members of the groups of a9_links_out, a row each, so that no group is held as one list."""
+    return g.edges_between(busy(g)).select(F.substring_index("target", ".", 2).alias("target_module"), "source", "target", "edge_type").distinct()
+
+
+@register("a12_class_unions", sql("""SELECT DISTINCT regexp_extract(m.id, '^(.*)[.][^.]*$', 1) AS class_id, x.kind, string_split(x.other, '.')[-1] AS name FROM (
+    SELECT source AS id, 'callee' AS kind, target AS other FROM calls UNION SELECT target, 'caller', source FROM calls) x JOIN cn m ON m.id = x.id AND m.symbol_type = 'method'
+  WHERE regexp_extract(m.id, '^(.*)[.][^.]*$', 1) IN (SELECT id FROM cn WHERE symbol_type = 'class')"""))
+def _(g, spark, d):
+    """Short names that the methods of a class call and are called by."""
+    c = g.edges_of_types("calls")
+    ends = c.select(F.col("source").alias("id"), F.lit("callee").alias("kind"), F.col("target").alias("other")).union(c.select("target", F.lit("caller"), "source"))
+    m = g.nodes.where("symbol_type = 'method'").select("id", parent(F.col("id")).alias("class_id"))
+    m = m.join(g.nodes.where("symbol_type = 'class'").select(F.col("id").alias("class_id")), "class_id", "left_semi")
+    return ends.join(m, "id").select("class_id", "kind", last_part(F.col("other")).alias("name")).distinct()
+
+
+@register("a13_function_members", sql("""SELECT DISTINCT source AS id, edge_type, target FROM ge WHERE edge_type IN ('calls', 'reads', 'writes') AND source IN (SELECT id FROM cn WHERE symbol_type IN ('function', 'method') AND NOT is_proposed)"""))
+def _(g, spark, d):
+    own = g.nodes_by_type("function", "method").select(F.col("id").alias("source"))
+    return g.edges_of_types("calls", "reads", "writes").join(own, "source", "left_semi").select(F.col("source").alias("id"), "edge_type", "target").distinct()
+
+
+@register("j13_edges_of_known_ends", sql("SELECT source, target, edge_type FROM ge WHERE target IN (SELECT id FROM cn)"))
+def _(g, spark, d):
+    """What an update of single files keeps: edges of which both ends are known."""
+    return g.edges.join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target", "edge_type")
+
+
+@register("j19_context_members", sql("""SELECT n.id, x.kind, x.other, substr(n.docstring, 1, 200) AS doc, n.line_start || '-' || n.line_end AS lines FROM cn n JOIN (
+    SELECT target AS id, 'caller' AS kind, source AS other FROM calls WHERE source IN (SELECT id FROM cn) UNION SELECT source, 'callee', target FROM calls WHERE target IN (SELECT id FROM cn)) x ON x.id = n.id WHERE n.symbol_type = 'method'"""))
+def _(g, spark, d):
+    """Callers and callees of every method, a row each, with the start of its documentation and its lines."""
+    c = g.edges_of_types("calls").select("source", "target")
+    known = g.nodes.select("id")
+    into = c.join(known.toDF("source"), "source", "left_semi").select(F.col("target").alias("id"), F.lit("caller").alias("kind"), F.col("source").alias("other"))
+    out = c.join(known.toDF("target"), "target", "left_semi").select(F.col("source").alias("id"), F.lit("callee").alias("kind"), F.col("target").alias("other"))
+    n = g.nodes.where("symbol_type = 'method'").select("id", F.substring("docstring", 1, 200).alias("doc"), F.concat(F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string")).alias("lines"))
+    return n.join(into.unionByName(out).distinct(), "id").select("id", "kind", "other", "doc", "lines")
+
+
+@register("e16_json_rows", sql("""SELECT id, '{"id":"' || id || '","symbol_type":"' || symbol_type || '"}' AS j FROM cn WHERE symbol_type = 'class'"""))
+def _(g, spark, d):
+    return g.nodes.where("symbol_type = 'class'").select("id", F.to_json(F.struct("id", "symbol_type")).alias("j"))

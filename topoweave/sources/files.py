@@ -49,6 +49,12 @@ def latest_files(files: DataFrame) -> DataFrame:
     return files.join(last, "file_id", "left_semi")
 
 
+def spread(files: DataFrame, key: str) -> DataFrame:
+    """Files over as many partitions as there are tasks for them: parsing costs far more than the bytes that partitions are sized by."""
+    spark = files.sparkSession
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def lines(content: Column) -> Column:
     return F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topoweave.operators.graph import PropertyGraph
-from topoweave.plans.tables import table
+from topoweave.plans.tables import keep, table
 from topoweave.schema import EDGE_COLUMNS, NODE_COLUMNS
 
 
@@ -38,3 +38,10 @@ def current_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Nodes and edges of today; an edge belongs to the graph as soon as its source does."""
     nodes, edges = current_nodes(spark, sf_dir), current_edges(spark, sf_dir)
     return PropertyGraph(nodes, edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi"))
+
+
+def kept_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """:func:`current_graph`, made once and written, so that a query that uses it several times reads it by columns and edge types."""
+    nodes, _ = keep(current_nodes(spark, sf_dir), "graph-nodes")
+    edges = current_edges(spark, sf_dir).join(nodes.select(F.col("id").alias("source")), "source", "left_semi").select(*EDGE_COLUMNS)
+    return PropertyGraph(nodes, keep(edges, "graph-edges", "edge_type")[0])
