@@ -72,7 +72,8 @@ def fp(i, m, tree=((0, "F"), (1, "A"), (1, "B")), callees=("x.a", "y.b"), lines=
 
 def test_tree_grams(spark):
     trees = [[(0, "F"), (1, "A"), (2, "C"), (1, "B")], [(0, "F"), (1, "A"), (2, "D"), (1, "B")], [(0, "F"), (1, "B"), (1, "A"), (2, "C")], [(0, "F"), (1, "A"), (1, "A"), (1, "A")], None, []]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(trees)], "k int, t array<struct<depth int, label string>>").select("k", tree_grams(F.col("t")).alias("g"))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(trees)], "k int, t array<struct<depth int, label string>>")
+    df = tree_grams(df, "k", "t").withColumnRenamed("grams", "g")
     x = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), gram_overlap(F.col("a.g"), F.col("b.g")).alias("s"))
     got = {(r.i, r.j): r.s for r in x.collect()}
     # Changing one of four labels leaves three grams; a swap of siblings changes those that name the sibling before.

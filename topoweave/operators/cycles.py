@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topoweave.operators.traverse import closure, directed
+from topoweave.operators.traverse import closure, directed, laid_by_start
 from topoweave.plans.tables import drop, keep
 
 
@@ -52,16 +52,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return sized.join(big, "colour").select("id", "component")
 
 
+#: Steps that a colour is passed on for each table that is written.
+HOPS = 4
+
+
 def _coloured(steps: DataFrame) -> DataFrame:
     """(id, colour): the least id from which each vertex can be reached."""
     spark = steps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_start = steps.select("u", "v").repartition(parts, "u").persist()
+    by_start = laid_by_start(steps)
     ids = steps.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     state, path = keep(ids.select("id", F.col("id").alias("colour"), F.lit(True).alias("new")), "colour")
     while not state.where("new").isEmpty():
-        # Only colours that changed are passed on, the least per vertex.
-        offer = by_start.join(state.where("new").select(F.col("id").alias("u"), F.col("colour").alias("c")), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("c"))
+        # Only colours that changed are passed on, over a few steps at once, the least per vertex.
+        wave = [state.where("new").select(F.col("id").alias("u"), F.col("colour").alias("c"))]
+        for _ in range(HOPS):
+            wave.append(by_start.join(wave[-1], "u").groupBy(F.col("v").alias("u")).agg(F.min("c").alias("c")))
+        offer = reduce(DataFrame.union, wave[1:]).groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
         nxt, used = keep(state.join(offer, "id", "left").select("id", F.least("colour", "c").alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("new")), "colour")
         drop(spark, path)
         state, path = nxt, used

@@ -27,34 +27,47 @@ def directed(edges: DataFrame, direction: str = "forward") -> DataFrame:
     return steps.where("u != v").distinct()
 
 
-#: Tables of single steps after which they are written as one.
-LEVELS = 8
+#: Steps taken for each table that is written, and tables after which they are written as one.
+HOPS, LEVELS = 4, 8
+
+
+def laid_by_start(steps: DataFrame) -> DataFrame:
+    """Steps held partitioned and sorted by their start for many rounds of joins, so that only what they meet moves.
+
+    Parts that are evicted or lost are made again from the table of the steps.
+    """
+    parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return steps.select("u", "v").repartition(parts, "u").sortWithinPartitions("u").persist()
 
 
 def distances(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, depth) of everything reached from ``seeds`` (column id) within ``max_depth`` steps; seeds have depth 0.
 
-    A table per step.  The steps lie partitioned by their start for all rounds (evicted parts are made again from
-    their table), so that only the frontier moves: sent to all while it is small, by the size of its table, else
-    shuffled to where its steps lie.
+    A table holds what several steps met first, each of them made once (the exchanges of a step are used again by
+    the next); only what the last of them met goes on, as the vertices before it were walked on from already.
     """
     spark = steps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_start = steps.select("u", "v").repartition(parts, "u").persist()
+    by_start = laid_by_start(steps)
     frontier, path = keep(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     levels, paths, depth = [frontier], [path], 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        met = reduce(DataFrame.union, levels).select(F.col("id").alias("v"))
-        nxt = by_start.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select("v").distinct().join(met, "v", "left_anti")
-        frontier, path = keep(nxt.select(F.col("v").alias("id"), F.lit(depth).alias("depth")), "frontier")
-        levels.append(frontier), paths.append(path)
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        met = reduce(DataFrame.union, levels).select("id")
+        wave = [frontier.select(F.col("id").alias("u"))]
+        for _ in range(hops):
+            wave.append(by_start.join(wave[-1], "u", "left_semi").select(F.col("v").alias("u")).distinct())
+        first = reduce(DataFrame.union, [w.withColumn("depth", F.lit(depth + k)) for k, w in enumerate(wave) if k])
+        first = first.groupBy(F.col("u").alias("id")).agg(F.min("depth").alias("depth")).join(met, "id", "left_anti")
+        new, path = keep(first, "reached")
+        depth += hops
+        frontier = new.where(F.col("depth") == depth)
+        levels.append(new), paths.append(path)
         if len(levels) > LEVELS:
             # Adaptive execution fits the number of files to the rows.
             merged, path = keep(reduce(DataFrame.union, levels[:-1]).repartition("id"), "reached")
             for p in paths[:-1]:
                 drop(spark, p)
-            levels, paths = [merged, frontier], [path, paths[-1]]
+            levels, paths = [merged, new], [path, paths[-1]]
     by_start.unpersist()
     return reduce(DataFrame.union, levels)
 
