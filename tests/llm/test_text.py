@@ -6,12 +6,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topoweave.llm import leakage
 from topoweave.llm.docpairs import documented_functions
 from topoweave.llm.leakage import leaked_items
-from topoweave.llm.packing import CAPACITY, VOCABULARY, encoding, packed, plan, tokens_of
-from topoweave.llm.reading import fit, reading_levels, with_features
+from topoweave.llm.packing import CAPACITY, VOCABULARY, encoding, packed, packing_faults, plan, tokens_of
+from topoweave.llm.reading import fit, held_out, reading_levels, vocabulary, with_counts
 
 
 def words(t):
@@ -78,7 +79,7 @@ def plain_counts(t):
 
 def test_prose_counts(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "i int, text string, n_words_ string")
-    got = {r.i: (r.n_words, r.n_sentences, r.n_letters) for r in with_features(df).collect()}
+    got = {r.i: (r.n_words, r.n_sentences, r.n_letters) for r in with_counts(df).collect()}
     assert got == {i: plain_counts(t) for i, t in enumerate(TEXTS)}
 
 
@@ -98,6 +99,10 @@ def test_ranker_orders_held_out_documents(spark):
     assert sum(a[1] > b[1] for a, b in pairs) / len(pairs) > 0.95
     assert np.mean([abs(a - c) for a, _, c in held]) < 0.8
     assert rows[900].reading_level is None and rows[901].n_words == 0
+    told = held_out(docs, labels).first()
+    assert told.n_documents > 10 and told.order > 0.9 and told.error < told.plain_error
+    words, shares = vocabulary(docs, size=5)
+    assert len(words) == 5 and shares == sorted(shares, reverse=True)
     none = fit(docs, labels.limit(0))
     assert {x.reading_level for x in reading_levels(docs, none).collect()} == {None}
 
@@ -107,7 +112,13 @@ def test_packing_loses_cuts_and_overfills_nothing(spark):
     docs = [(i, " ".join(r.choices(["alpha", "beta", " gamma", "x1", "..."], k=int(r.expovariate(1 / 200)) + 1))) for i in range(400)]
     docs += [(900, None), (901, ""), (902, "word " * 7_000), (903, " " * 20_000), (7, docs[7][1]), (None, "no id")]
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id bigint, text string, container int")
-    rows = packed(df).collect()
+    done = packed(df).cache()
+    faults = packing_faults(done, df).first().asDict()
+    assert faults.pop("n_pieces") == done.count() and not any(faults.values()), faults
+    broken = done.where("doc_id != 5").unionByName(done.where("doc_id = 6")).withColumn("container", F.least("container", F.lit(1)))
+    faults = packing_faults(broken, df).first()
+    assert faults.texts_lost_or_doubled == 3 and faults.overfull > 0 and faults.positions_not_dense > 0
+    rows = done.collect()
     enc = encoding(VOCABULARY)
     want, got = defaultdict(list), defaultdict(list)
     for i, t in docs:
@@ -139,6 +150,41 @@ def test_configurations_fit_and_place_every_piece():
     assert p.containers >= (counts[129:] * np.arange(129, CAPACITY + 1)).sum() / CAPACITY
 
 
+def test_inherited_documentation_of_random_hierarchies(spark):
+    """Every undocumented method gets the documentation of the nearest level of bases, of equals the leftmost."""
+    r = random.Random(12)
+    bases = {k: r.sample(range(k), r.randrange(min(k, 3) + 1)) for k in range(60)}
+    state = {(k, m): r.choice(["none", "none", "told", "bare"]) for k in bases for m in "ab" if r.random() < 0.7}
+    says = lambda k, m: f"Explains number {chr(97 + k // 26)}{chr(97 + k % 26)}x of every single method {m}{m}"
+    text = ""
+    for k, up in bases.items():
+        text += f"class C{k}({', '.join(f'C{b}' for b in up)}):\n    x = 1\n"
+        for m in "ab":
+            if (s := state.get((k, m))) is not None:
+                doc = says(k, m) if s == "told" else "TODO"
+                text += f"    def {m}(self):\n        {'pass' if s == 'none' else repr(doc)}\n"
+    want = {}
+    for (k, m), s in state.items():
+        level, seen = ([(k, ())], {k}) if s == "none" else ([], set())
+        while level:
+            nxt = {}
+            for c, route in level:
+                for n, b in enumerate(bases[c]):
+                    if b not in seen:
+                        nxt[b] = min(nxt.get(b, (9,) * 99), (*route, n))
+            seen |= set(nxt)
+            hits = [(route, b) for b, route in nxt.items() if state.get((b, m)) in ("told", "bare")]
+            if hits:
+                b = min(hits)[1]
+                if state[b, m] == "told":
+                    want[f"m.C{k}.{m}"] = f"m.C{b}.{m}"
+                break
+            level = list(nxt.items())
+    df = spark.createDataFrame([(1, "m.py", "m", text, None)], "file_id bigint, path string, module string, content string, mtime timestamp_ntz")
+    got = {x.qualified_name: x.doc_from for x in documented_functions(df).where("doc_origin = 'inherited'").collect()}
+    assert got == want and len(want) > 5
+
+
 SOURCE = '''
 import base.core as bc
 from base import core

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topoweave.plans.tables import drop, keep
+from topoweave.sources.files import spread
 
 #: Lines that end a description (fixed values).
 SECTIONS = {"Args:", "Arguments:", "Parameters", "Parameters:", "Returns", "Returns:", "Raises", "Raises:", "Yields:", "Examples:"}
@@ -160,7 +161,7 @@ def current_files(files: DataFrame) -> DataFrame:
 
 def parsed(files: DataFrame) -> DataFrame:
     """Functions and classes of the current files."""
-    return current_files(files).mapInArrow(_parse, _SCHEMA)
+    return spread(current_files(files), "path").mapInArrow(_parse, _SCHEMA)
 
 
 def documented_functions(files: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(table(spark, d, "source_files")).where("doc_origin != 'inherited'").select("qualified_name").distinct()
 
 
+def p4_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """Methods without documentation and the overridden method whose documentation they get."""
+    return documented_functions(table(spark, d, "source_files")).where("doc_origin = 'inherited'").select("qualified_name", "doc_from", "description").distinct()
+
+
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of code and description, inherited ones too."""
     return documented_functions(table(spark, d, "source_files"))
@@ -26,5 +31,5 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.substring_index("qualified_name", ".", 1).alias("project"), "doc_origin").agg(F.count("*").alias("n_functions"), F.sum(words).alias("n_words"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_report": p4_report}
+QUERIES = {"p4_found": p4_found, "p4_inherited": p4_inherited, "p4_pairs": p4_pairs, "p4_report": p4_report}
 SQL: dict[str, str] = {}

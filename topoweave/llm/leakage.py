@@ -9,9 +9,10 @@ all words, then of the letters themselves, confirms.  Documents are read once
 per block of patterns and never shuffled; numpy moves all windows of an Arrow
 batch at the same time, long documents being searched from many places at once.
 
-Items are cut into overlapping passages and grouped into blocks of at most
-``BLOCK_WORDS`` words; only one block at a time is collected and broadcast, so
-an item set of any size is searched whole.
+Items are cut into overlapping passages, and distinct passages grouped into
+blocks of about ``BLOCK_WORDS`` words; only one block at a time is collected and
+broadcast, so an item set of any size is searched whole.  Which items own a
+passage, however many, is a table that hits are joined with.
 
 Defined results: words are runs of ASCII letters and digits, lower-cased; null
 and wordless texts and items give no row; each (doc, item) pair comes once, so
@@ -177,31 +178,23 @@ def item_passages(items: DataFrame, item_id: str, text: str, window: int = WINDO
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id) of every document that holds ``window`` successive words of the item, or all of a shorter one."""
     spark = docs.sparkSession
-    passages = item_passages(items, item_id, item_text, window).distinct()
-    total = passages.agg(F.sum(F.size("words"))).first()[0] or 0
+    passages, _ = keep(item_passages(items, item_id, item_text, window).distinct(), "leak-passages")
+    # Each distinct passage counts once, whoever owns it; its owners stay a table.
+    texts, _ = keep(passages.select("words").distinct(), "leak-texts")
+    total = texts.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, math.ceil(1.25 * total / BLOCK_WORDS))
-    id_type, item_type = docs.schema[doc_id].dataType, items.schema[item_id].dataType
+    id_type = docs.schema[doc_id].dataType
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    schema = f"doc_id {id_type.simpleString()}, pattern int"
-    if blocks > 1:
-        passages = keep(passages.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))), "leak-passages")[0]
     found = None
     for b in range(blocks):
-        rows = (passages.where(F.col("block") == b) if blocks > 1 else passages).select("item_id", "words").collect()
-        owners: dict[tuple[str, ...], set] = {}
-        for r in rows:
-            n = len(r["words"])
-            for k in range(max(1, n - window + 1)):
-                owners.setdefault(tuple(r["words"][k : k + window]), set()).add(r["item_id"])
-        patterns = list(owners)
+        rows = texts.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
+        patterns = list({tuple(r["words"][k : k + window]) for r in rows for k in range(max(1, len(r["words"]) - window + 1))})
         shared = spark.sparkContext.broadcast((shift_tables(patterns), [" ".join(p).encode() for p in patterns]))
-        hits = base.mapInArrow(_searcher(shared), schema)
-        names = spark.createDataFrame(
-            [(i, x) for i, p in enumerate(patterns) for x in owners[p]], f"pattern int, item_id {item_type.simpleString()}"
-        )
-        part = hits.join(names, "pattern").select("doc_id", "item_id")
+        part = base.mapInArrow(_searcher(shared), f"doc_id {id_type.simpleString()}, pattern string")
         found = part if found is None else found.union(part)
-    return found.distinct()
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1))
+    owners = passages.select("item_id", F.explode(F.transform(begins, lambda k: F.array_join(F.slice("words", k, window), " "))).alias("pattern")).distinct()
+    return found.join(owners, "pattern").select("doc_id", "item_id").distinct()
 
 
 def _searcher(shared):
@@ -220,7 +213,7 @@ def _searcher(shared):
                     last = first[k] + p.count(b" ")
                     got = b" ".join(_FOLD[data[begin[j] : end[j]]].tobytes() for j in range(first[k], last + 1))
                     if got == p:
-                        rows.append(text[k]), found.append(pattern[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int32())], ["doc_id", "pattern"])
+                        rows.append(text[k]), found.append(p.decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["doc_id", "pattern"])
 
     return run

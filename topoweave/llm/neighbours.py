@@ -9,8 +9,9 @@ into.  Vectors travel as 8-bit codes of their unit vector, a quarter of their
 size; what is returned is measured again on the exact vectors.
 
 Equal vectors are one vertex, so that copies, however many, neither crowd a leaf
-nor a list.  Leaves above ``LEAF_MOST`` are joined in chunks of nearby rows and
-left to the rounds.  In-degrees are unbounded, so a round takes the ``K`` nearest
+nor a list.  The fitted trees are of a depth that their sample can bear; larger
+leaves are halved further along random directions in the task that holds them.
+In-degrees are unbounded, so a round takes the ``K`` nearest
 reverse neighbours of each vertex, chosen before the shuffle as well as after.
 The result is approximate; :func:`brute_force` measures the recall.
 
@@ -35,13 +36,15 @@ from topoweave.plans.tables import drop, keep
 K = 40
 TREES = 8
 LEAF = 160
-LEAF_MOST = 1_024
+LEAF_ROWS = 50_000
 #: Vectors (those of least id hash) on which the splits of the trees are fitted.
 SAMPLE = 20_000
 ROUNDS = 7
 #: Rounds end when fewer than this share of all list entries changed.
 LEAST_CHANGE = 0.01
 BEAM = 96
+#: Vectors of a leaf (those of least id hash) from which a search that falls into it begins.
+ENTRIES = 320
 OPENED = 12
 QUERY_BLOCK = 2_000
 
@@ -120,7 +123,12 @@ class Trees:
 
 
 def fit_trees(codes: DataFrame, total: int, trees: int = TREES) -> Trees:
+    """Trees of as many levels as the sample can fit; leaves above ``LEAF`` are split further where they lie.
+
+    Beyond that depth only so many levels are added as keep a leaf at about ``LEAF_ROWS`` vectors.
+    """
     depth = max(0, math.ceil(math.log2(max(1, total) / LEAF)))
+    depth = max(min(depth, int(math.log2(SAMPLE / 32))), math.ceil(math.log2(max(1, total) / LEAF_ROWS)))
     some = codes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").toArrow()
     return Trees(units(some.column("code")) if some.num_rows else np.zeros((0, 1), np.float32), depth, trees)
 
@@ -177,6 +185,18 @@ def flat(graph: DataFrame) -> DataFrame:
     return graph.select("id", F.inline(F.arrays_zip("nbrs", "sims", "fresh"))).toDF("id", "nbr", "sim", "fresh")
 
 
+def _split(rows: np.ndarray, x: np.ndarray, most: int, seed: int):
+    """Parts of at most ``most`` rows, halved again and again along random directions."""
+    todo, rng = [rows], np.random.default_rng(seed)
+    while todo:
+        part = todo.pop()
+        if len(part) <= most:
+            yield part
+            continue
+        order = part[np.argsort(x[part] @ rng.standard_normal(x.shape[1]).astype(np.float32), kind="stable")]
+        todo += [order[: len(part) // 2], order[len(part) // 2 :]]
+
+
 def _leaf_lists(k: int):
     """The k nearest of every row inside its leaf."""
 
@@ -185,11 +205,7 @@ def _leaf_lists(k: int):
             ids, x = t.column("id").to_numpy(), units(t.column("code"))
             out: list[tuple] = []
             for first, n in zip(*_spans(t.column("leaf").to_numpy())):
-                own = np.arange(first, first + n)
-                if n > LEAF_MOST:
-                    own = own[np.argsort(x[own] @ np.sin(np.arange(1, x.shape[1] + 1, dtype=np.float32)), kind="stable")]
-                for a in range(0, n, LEAF_MOST):
-                    part = own[a : a + LEAF_MOST]
+                for part in _split(np.arange(first, first + n), x, 2 * LEAF, int(t.column("leaf")[first].as_py())):
                     if len(part) < 2:
                         continue
                     s = x[part] @ x[part].T
@@ -348,7 +364,8 @@ def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, leaves: DataF
     q = queries.select("query", F.col("code").alias("query_code"))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
     measure = lambda pairs: pairs.join(q, "query").join(codes, "id").select("query", "query_code", "id", "code").mapInArrow(_scores, "query bigint, id bigint, sim float")
-    entry = queries.select("query", F.explode("leaves").alias("leaf")).join(leaves, "leaf").select("query", "id").distinct()
+    few = leaves.withColumn("nth", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("id"), "id"))).where(F.col("nth") <= ENTRIES)
+    entry = queries.select("query", F.explode("leaves").alias("leaf")).join(few, "leaf").select("query", "id").distinct()
     met = measure(entry).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= beam).drop("nth")
     state, path = keep(met.withColumn("opened", F.lit(False)), "beam")
     for _ in range(rounds):

@@ -47,14 +47,32 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
     return _searched(spark, d)[2].select(F.col("query").alias("vec_id"), F.col("id").alias("neighbour_id"), "similarity")
 
 
-def p2_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the exact 5 nearest of those vectors that the search finds; of equally near ones any counts."""
-    vectors, queries, found = _searched(spark, d)
+def _recall(queries: DataFrame, vectors: DataFrame, found: DataFrame) -> DataFrame:
+    """Share of the exact 5 nearest of the queries among ``found`` (query, similarity); of equally near ones any counts."""
     truth = brute_force(queries, vectors, 5).groupBy("query").agg(F.count("*").alias("n"), F.min("similarity").alias("last"))
     near = found.join(truth, "query").where(F.col("similarity") >= F.col("last") - 1e-9).groupBy("query").agg(F.count("*").alias("hits"))
     hits = truth.join(near, "query", "left").select("n", F.coalesce("hits", F.lit(0)).alias("hits"))
     return hits.agg(F.sum("n").alias("n_true"), F.sum("hits").alias("n_found"), F.try_divide(F.sum("hits"), F.sum("n")).alias("recall"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_search": p2_search, "p2_recall": p2_recall}
-SQL: dict[str, str] = {}
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the greedy search for every vector whose id is divisible by 100."""
+    vectors, queries, found = _searched(spark, d)
+    return _recall(queries, vectors, found)
+
+
+def p2_graph_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the neighbour graph for every vector whose id is divisible by 100."""
+    vectors = _vectors(spark, d)
+    codes, owners = vertices(vectors)
+    graph, _ = neighbour_graph(codes)
+    found, _ = keep(nearest_pairs(vectors, graph, owners, 5).where("id % 100 = 0").select(F.col("id").alias("query"), "similarity"), "graph-nearest")
+    return _recall(vectors.where("id % 100 = 0"), vectors, found)
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_search": p2_search, "p2_recall": p2_recall, "p2_graph_recall": p2_graph_recall}
+_EXACT = """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('o' || function_id, 'i' || vec_id) ORDER BY created_at DESC, vec_id DESC) AS rn FROM function_vectors
+  WHERE model_name = 'codemini-2' AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) x WHERE rn = 1),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM s)"""
+SQL = {"p2_found": _EXACT + " SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE rank <= 5 AND s >= 0.88"}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -52,7 +53,10 @@ def encoding(path: str):
     """The tokenizer of a vocabulary file, once per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    from pyspark import SparkFiles
+
+    sent = SparkFiles.get(os.path.basename(path))
+    with open(sent if os.path.exists(sent) else path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -183,6 +187,7 @@ def _best_fit(capacity: int, shards: int, used: int):
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, groups: int = GROUPS) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, container, position) of every text."""
     spark = docs.sparkSession
+    spark.sparkContext.addFile(vocabulary)  # tasks need not have the folder of vocabularies
     kind = docs.schema[doc_id].dataType.simpleString()
     counted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_counter(vocabulary), f"doc_id {kind}, tokens bigint")
     pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("tokens") - 1) / capacity).cast("int")))
@@ -230,3 +235,21 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     full = full.withColumn("position", position)
     empty = items.where("n_tokens = 0").withColumn("container", F.lit(None).cast("bigint")).withColumn("position", F.lit(None).cast("int"))
     return full.unionByName(empty).select("doc_id", "piece", F.col("start").alias("start_token"), "n_tokens", "container", "position")
+
+
+def packing_faults(rows: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """One row of counts, all 0 where a packing (:func:`packed`) is right, and its number of pieces."""
+    held = rows.where("container is not null").groupBy("container").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.max("position").alias("last"), F.min("position").alias("first"), F.count_distinct("position").alias("places")
+    )
+    c = held.agg(F.count_if(F.col("n") > capacity).alias("overfull"), F.count_if((F.col("first") != 0) | (F.col("last") + 1 != F.col("k")) | (F.col("places") != F.col("k"))).alias("positions_not_dense"))
+    # Pieces of one id: those of all its texts; a piece that is no text's last one is full.
+    by = rows.groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("texts"), F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"))
+    want = docs.groupBy(F.col(doc_id).alias("doc_id")).agg(F.count("*").alias("want"), F.count_if(F.length(F.coalesce(F.col(text), F.lit(""))) > 0).alias("with_text"))
+    x = want.join(by, want["doc_id"].eqNullSafe(by["doc_id"]), "full_outer")
+    t = x.agg(
+        F.count_if(F.coalesce("texts", F.lit(0)) != F.coalesce("want", F.lit(0))).alias("texts_lost_or_doubled"),
+        F.count_if(F.col("with_text").eqNullSafe(1) & (F.col("want") == 1) & (F.col("pieces") != F.ceil(F.col("n") / capacity))).alias("cut_without_need"),
+    )
+    p = rows.agg(F.count("*").alias("n_pieces"), F.count_if((F.col("n_tokens") > 0) & F.col("container").isNull()).alias("without_container"), F.count_if(F.col("start_token") != F.col("piece") * capacity).alias("wrong_start"))
+    return p.crossJoin(c).crossJoin(t)  # one row each

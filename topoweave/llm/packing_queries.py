@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topoweave.llm.packing import CAPACITY, packed
-from topoweave.plans.tables import table
+from topoweave.llm.packing import CAPACITY, packed, packing_faults
+from topoweave.plans.tables import keep, table
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -21,5 +21,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return total.select("*", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * CAPACITY)).alias("fill"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_report": p6_report}
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of the packing of all texts: pieces lost, doubled or cut without need, containers overfull or with gaps in their order."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return packing_faults(keep(packed(docs), "packed")[0], docs)
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_checks": p6_checks, "p6_report": p6_report}
 SQL: dict[str, str] = {}

@@ -60,4 +60,9 @@ s AS (SELECT fp_id, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 5),
 c AS (SELECT a.fp_id AS fp_a, b.fp_id AS fp_b, count(*) AS k FROM m a JOIN m b ON a.f = b.f AND a.v = b.v AND a.fp_id < b.fp_id GROUP BY 1, 2)
 """
 QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p3_recall": p3_recall}
-SQL = {"p3_found": _CTE + "SELECT fp_a, fp_b FROM c JOIN s x ON x.fp_id = fp_a JOIN s y ON y.fp_id = fp_b WHERE 10 * k >= 7 * (x.n + y.n - k)"}
+SQL = {
+    "p3_found": _CTE + "SELECT fp_a, fp_b FROM c JOIN s x ON x.fp_id = fp_a JOIN s y ON y.fp_id = fp_b WHERE 10 * k >= 7 * (x.n + y.n - k)",
+    "p3_links": _CTE + """, p AS (SELECT fp_a, fp_b, k = x.n AND k = y.n AS same FROM c JOIN s x ON x.fp_id = fp_a JOIN s y ON y.fp_id = fp_b WHERE 10 * k >= 7 * (x.n + y.n - k)),
+b AS (SELECT fp_a AS a, fp_b AS b, same FROM p UNION ALL SELECT fp_b, fp_a, same FROM p), h AS (SELECT s.fp_id, least(s.fp_id, min(b.b)) AS class_id FROM s LEFT JOIN b ON b.a = s.fp_id AND b.same GROUP BY s.fp_id)
+SELECT h.fp_id, h.class_id, count(DISTINCT o.class_id) AS n_links FROM h LEFT JOIN b ON b.a = h.fp_id AND NOT b.same LEFT JOIN h o ON o.fp_id = b.b GROUP BY 1, 2""",
+}
