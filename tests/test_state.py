@@ -3,7 +3,8 @@ import datetime as dt
 from topoweave.functions.rank import global_rank
 from topoweave.operators.layout import circular, hierarchical, spiral
 from topoweave.operators.similarity import candidates, duplicate_groups, gram_overlap, neighbourhood_kernel, scored, tree_grams
-from topoweave.streaming.changes import apply_delta, as_of, is_full_refresh, latest_by_stream, node_delta, replace_files, windowed_counts, run_to_table
+from topoweave.sources.pysource import extract, relationships, symbols
+from topoweave.streaming.changes import Versions, apply_edge_delta, apply_node_delta, as_of, edge_delta, edges_as_of, latest_by_stream, node_delta, refresh, remove_module, replace_files, run_to_table, windowed_counts
 from tests_helpers import edges, ids, nodes
 
 from pyspark.sql import functions as F
@@ -33,24 +34,54 @@ def test_windows_on_table_and_stream(spark, tmp_path):
     assert len(table) == 10 and seen <= table and len(seen) >= 8
 
 
+def test_restarted_stream_goes_on_from_its_state(spark, tmp_path):
+    schema, src, state = "path string, seq bigint, content string", str(tmp_path / "in"), str(tmp_path / "state")
+    run = lambda: {r.path: r.content for r in latest_by_stream(spark.readStream.schema(schema).parquet(src), "path", ["seq"], folder=state).collect()}
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    put([("a", 1, "a1"), ("b", 5, "b5"), (None, 1, "n")])
+    assert run() == {"a": "a1", "b": "b5", None: "n"}
+    put([("a", 2, "a2"), ("b", 4, "b4"), ("c", 1, "c1")])
+    # A new object and query, as after a lost driver: only the second file is read, the first is in the state.
+    assert run() == {"a": "a2", "b": "b5", "c": "c1", None: "n"}
+    v = Versions(spark, state)
+    before = dict(v.where)
+    v.upsert(spark.createDataFrame([("a", 9, "a9")], schema), "path", ["seq"], v.version)  # a batch that came through already
+    assert v.where == before and run()["a"] == "a2"
+
+
 def test_delta_round_trip(spark):
     schema = "seq bigint, id string, name string, symbol_type string, line_start int, line_end int, is_dead boolean, observed_at timestamp_ntz, deleted_at timestamp_ntz"
     n = spark.createDataFrame(
         [(1, "a", "a", "f", 1, 2, False, T(0), None), (2, "b", "b", "f", 1, 2, False, T(0), T(5)), (3, "c", "c", "f", 1, 2, False, T(6), None), (4, "d", "d", "f", 1, 2, False, T(0), None), (5, "d", "d", "f", 1, None, False, T(7), None)], schema
     )
-    old, new = as_of(n, "2024-01-01 00:03:00"), as_of(n, "2024-01-01 00:10:00")
+    e = spark.createDataFrame([("a", " d", "CALLS", T(0)), ("b", "a", "calls", T(1)), ("c", "a", "calls", T(1)), ("a", "x", "calls", T(9)), (None, "x", "calls", T(0)), ("a", "", "calls", T(0))], "source string, target string, edge_type string, observed_at timestamp_ntz")
+    times = "2024-01-01 00:03:00", "2024-01-01 00:10:00"
+    old, new = (as_of(n, t) for t in times)
     d = node_delta(old, new)
     assert {r.id: r.change for r in d.collect()} == {"b": "removed", "c": "added", "d": "updated"}
-    assert sorted(map(tuple, apply_delta(old, new, d).collect()), key=str) == sorted(map(tuple, new.collect()), key=str)
-    assert is_full_refresh(old, d) and not is_full_refresh(old, d.limit(1))
-
-
-def test_replaced_files_keep_edges_into_them(spark):
-    n = nodes(spark, function="p p.x p.y q.z").withColumn("file_path", F.element_at(F.create_map(F.lit("p"), F.lit("p/__init__.py"), F.lit("p.x"), F.lit("p/__init__.py"), F.lit("p.y"), F.lit("p/y.py"), F.lit("q.z"), F.lit("q.py")), F.col("id")))
-    e = edges(spark, "q.z>p.x p.x>p.y p.y>p.x")
-    new = nodes(spark, function="p p.x2").withColumn("file_path", F.lit("p/__init__.py"))
-    got, links = replace_files(n, e, new, edges(spark, "p.x2>p.y"), spark.createDataFrame([("p/__init__.py",)], "file_path string"))
-    assert ids(got) == ["p", "p.x2", "p.y", "q.z"] and sorted((r.source, r.target) for r in links.collect()) == [("p.x2", "p.y"), ("p.y", "p.x"), ("q.z", "p.x")]
+    assert sorted(map(tuple, apply_node_delta(old, d).collect()), key=str) == sorted(map(tuple, new.collect()), key=str)
+    eo, en = (edges_as_of(e, x, t) for x, t in zip((old, new), times))
+    de = edge_delta(eo, en)
+    assert {(r.source, r.target, r.change) for r in de.collect()} == {("b", "a", "removed"), ("c", "a", "added"), ("a", "x", "added")}
+    assert sorted(map(tuple, apply_edge_delta(eo, de, new).collect())) == sorted(map(tuple, en.collect()))
+    assert refresh(old, eo, d, de).first() == (5, 6, True) and not refresh(old, eo, d.limit(1), de.limit(0)).first().whole
+
+
+def test_updated_files_give_what_a_rebuild_gives(spark):
+    files = "file_id bigint, path string, module string, content string, mtime timestamp_ntz"
+    old = [
+        (1, "p/__init__.py", "p", "from p.x import helper\n", T(0)), (2, "p/x.py", "p.x", "class K:\n    def go(self): pass\ndef helper() -> K: pass\n", T(0)),
+        (3, "p/y.py", "p.y", "from p.x import K, helper\ndef use():\n    helper().go()\n    K().go()\n", T(0)), (4, "q.py", "q", "import p.y\ndef far():\n    p.y.use()\n", T(0)),
+    ]
+    new = [(5, "p/x.py", "p.x", "class Base:\n    def go(self): pass\nclass K(Base):\n    pass\ndef helper() -> K: pass\n", T(1)), (6, "q.py", "q", None, T(1)), (7, "p/z.py", "p.z", "from p import helper\ndef late():\n    helper()\n", T(1))]
+    graph = lambda rows: {tuple(r)[:3] for r in relationships(rows, symbols(rows)).collect()}
+    rows = extract(spark.createDataFrame(old, files))
+    before, got = graph(rows), graph(replace_files(rows, spark.createDataFrame(new, files)))
+    want = graph(extract(spark.createDataFrame([x for x in old if x[0] in (1, 3)] + [x for x in new if x[3]], files)))
+    assert got == want and ("p.y.use", "p.x.K.go", "calls") in before and ("p.y.use", "p.x.Base.go", "calls") in got and ("p.z.late", "p.x.helper", "calls") in got
+    n = nodes(spark, module="p pq", function="p.f pq.f")
+    left, links = remove_module(n, edges(spark, "p.f>pq.f pq.f>p.f pq.f>pq"), "p")
+    assert ids(left) == ["pq", "pq.f"] and [(r.source, r.target) for r in links.collect()] == [("pq.f", "pq")]
 
 
 def test_ranks_and_layouts(spark):

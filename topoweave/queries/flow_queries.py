@@ -16,7 +16,9 @@ from topoweave.operators.traverse import call_chain, connected, directed, distan
 from topoweave.plans.tables import keep, table
 from topoweave.queries import graph_queries as gq
 from topoweave.queries.graph_sql import NODE, reached, sql
-from topoweave.streaming.changes import apply_delta, as_of, counts_by_stream, latest_by_stream, node_delta, table_stream, windowed_counts
+from topoweave.streaming.changes import apply_edge_delta, apply_node_delta, as_of, counts_by_stream, edge_delta, edges_as_of, latest_by_stream, node_delta, refresh, remove_module, replace_files, table_stream, windowed_counts
+from topoweave.sources.files import latest_files
+from topoweave.sources.pysource import extract, relationships, symbols
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -605,18 +607,66 @@ _ASOF = "{n} AS (SELECT * FROM (SELECT id, name, symbol_type, line_start, line_e
 _AB = "WITH " + _ASOF.format(n="o", t=_A) + ", " + _ASOF.format(n="n", t=_B)
 
 
-@register("t5_snapshot_delta", _AB + """ SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'updated' END AS change FROM o FULL JOIN n ON o.id = n.id
-  WHERE o.id IS NULL OR n.id IS NULL OR (o.name, o.symbol_type, o.line_start, o.line_end, o.is_dead) IS DISTINCT FROM (n.name, n.symbol_type, n.line_start, n.line_end, n.is_dead)""", graph=False)
+_EAS = "e{n} AS (SELECT DISTINCT s AS source, t AS target, lower(edge_type) AS edge_type FROM (SELECT trim(source, chr(32) || chr(9)) AS s, trim(target, chr(32) || chr(9)) AS t, edge_type, observed_at FROM edges) x WHERE observed_at <= TIMESTAMP '{t}' AND s <> '' AND t <> '' AND edge_type IS NOT NULL AND s IN (SELECT id FROM {n}))"
+_EAB = _AB + ", " + _EAS.format(n="o", t=_A) + ", " + _EAS.format(n="n", t=_B)
+_CHANGED = """dn AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'updated' END AS change, n.name, n.symbol_type, n.line_start, n.line_end, n.is_dead FROM o FULL JOIN n ON o.id = n.id
+  WHERE o.id IS NULL OR n.id IS NULL OR (o.name, o.symbol_type, o.line_start, o.line_end, o.is_dead) IS DISTINCT FROM (n.name, n.symbol_type, n.line_start, n.line_end, n.is_dead)),
+de AS (SELECT *, 'added' AS change FROM (SELECT * FROM en EXCEPT SELECT * FROM eo) x UNION ALL SELECT *, 'removed' FROM (SELECT * FROM eo EXCEPT SELECT * FROM en) x)"""
+
+
+def _snapshots(spark, d):
+    """Nodes and edges at two times."""
+    n, e = table(spark, d, "nodes"), table(spark, d, "edges")
+    old, new = (keep(as_of(n, t), "snapshot")[0] for t in (_A, _B))
+    return old, new, *(keep(edges_as_of(e, x, t), "snapshot-edges")[0] for x, t in ((old, _A), (new, _B)))
+
+
+@register("t5_snapshot_delta", f"{_EAB}, {_CHANGED} SELECT * FROM dn", graph=False)
 def _(spark, d):
     n = table(spark, d, "nodes")
     return node_delta(as_of(n, _A), as_of(n, _B))
 
 
+@register("t5_edge_delta", f"{_EAB}, {_CHANGED} SELECT * FROM de", graph=False)
+def _(spark, d):
+    return edge_delta(*_snapshots(spark, d)[2:])
+
+
+@register("t5_refresh", f"{_EAB}, {_CHANGED} SELECT (SELECT count(*) FROM o) + (SELECT count(*) FROM eo) AS n_old, (SELECT count(*) FROM dn) + (SELECT count(*) FROM de) AS n_changed, (SELECT count(*) FROM dn) + (SELECT count(*) FROM de) > 0.6 * greatest(1, (SELECT count(*) FROM o) + (SELECT count(*) FROM eo)) AS whole", graph=False)
+def _(spark, d):
+    old, new, eo, en = _snapshots(spark, d)
+    return refresh(old, eo, node_delta(old, new), edge_delta(eo, en))
+
+
 @register("t6_applied_delta", _AB + " SELECT id, name, symbol_type, line_start, line_end, is_dead FROM n", graph=False)
 def _(spark, d):
-    n = table(spark, d, "nodes")
-    old, new = as_of(n, _A), as_of(n, _B)
-    return apply_delta(old, new, node_delta(old, new))
+    """The later snapshot from the earlier one and the delta, which holds the new rows."""
+    old, new, _, _ = _snapshots(spark, d)
+    return apply_node_delta(old, keep(node_delta(old, new), "delta")[0])
+
+
+@register("t6_applied_edges", _EAB + " SELECT source, target, edge_type FROM en", graph=False)
+def _(spark, d):
+    old, new, eo, en = _snapshots(spark, d)
+    nodes = apply_node_delta(old, keep(node_delta(old, new), "delta")[0])
+    return apply_edge_delta(eo, keep(edge_delta(eo, en), "edge-delta")[0], nodes)
+
+
+@register("t3_removed_scope", sql("SELECT source, target, edge_type FROM ge WHERE NOT (source = (SELECT p FROM busy) OR starts_with(source, (SELECT p FROM busy) || '.') OR target = (SELECT p FROM busy) OR starts_with(target, (SELECT p FROM busy) || '.'))"))
+def _(g, spark, d):
+    return remove_module(g.nodes, g.edges, gq.busy(g))[1].select("source", "target", "edge_type")
+
+
+@register("t4_updated_graph", graph=False)
+def updated_graph(spark, d):
+    """Relationships after the later half of the file changes came as an update; only changed files are parsed again."""
+    files = keep(table(spark, d, "source_files").where("path is not null"), "files")[0]
+    half = files.where("mtime is not null").agg(F.percentile_approx("mtime", 0.5)).first()[0]
+    early = F.col("mtime").isNull() | (F.col("mtime") <= F.lit(half))
+    rows, _ = keep(extract(files.where(early)), "facts")
+    later = files.where(~early)
+    rows, _ = keep(replace_files(rows, latest_files(later)), "facts")
+    return relationships(rows, keep(symbols(rows), "symbols")[0])
 
 
 @register("t11_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", graph=False)
