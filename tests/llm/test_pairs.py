@@ -158,6 +158,19 @@ def test_exact_mode_in_parts(spark, monkeypatch):
     assert {r["id"]: r["group"] for r in near_copies(df, "rid", "text", exact=True).collect()} == brute_groups(rows)
 
 
+def test_a_great_group_of_unequal_texts_is_settled_by_neighbours(spark, monkeypatch):
+    """Texts that are all alike but never equal, far more than a place may hold, beside others; groups as by brute force."""
+    monkeypatch.setattr(nearcopies, "FULL", 16)
+    r, rows = random.Random(4), texts(40, 5)
+    for i in range(1_000, 1_300):
+        w = [f"t{k}" for k in range(90)]
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(90)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = groups_of(spark, rows)
+    assert {i: g for i, (_, g) in got.items()} == brute_groups(rows)
+
+
 def test_no_texts_and_repeated_ids(spark):
     assert groups_of(spark, []) == {} and groups_of(spark, [(1, None)]) == {}
     t = " ".join(f"t{k}" for k in range(50))

@@ -87,22 +87,26 @@ def _prefix(depth: int) -> list[Column]:
 def _companions(depth: int):
     """Rows sorted by (tree, signature) that share a prefix of ``depth`` <= 3 values with the row before or after.
 
-    The first and the last row of a partition stay, as their neighbours may lie in another one.
+    The first and the last row of a partition stay, as their neighbours may lie in another one.  ``before`` is the id
+    of the row before, where that shares three values.
     """
 
     def run(batches):
-        held, linked = None, True
+        held, first, linked = None, None, True
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            tree, head = rows.column("tree").to_numpy(), rows.column("hi").to_numpy() >> (BITS * (3 - depth))
-            same = (tree[1:] == tree[:-1]) & (head[1:] == head[:-1])
+            tree, hi, ids, n = rows.column("tree").to_numpy(), rows.column("hi").to_numpy(), rows.column("id"), rows.num_rows
+            same = (tree[1:] == tree[:-1]) & (hi[1:] >> (BITS * (3 - depth)) == hi[:-1] >> (BITS * (3 - depth)))
             wanted = np.concatenate(([linked], same)) | np.concatenate((same, [False]))
-            yield rows.slice(0, rows.num_rows - 1).filter(pa.array(wanted[:-1]))
-            held, linked = rows.slice(rows.num_rows - 1), bool(wanted[-1])
+            before = ids.take(pa.array(np.arange(n - 1), mask=~(same & (hi[1:] == hi[:-1]))))
+            before = pa.concat_arrays([pa.nulls(1, ids.type) if first is None else first, before])
+            out = pa.RecordBatch.from_arrays([*rows.columns, before], [*rows.schema.names, "before"])
+            yield out.slice(0, n - 1).filter(pa.array(wanted[:-1]))
+            held, first, linked = rows.slice(n - 1), before.slice(n - 1), bool(wanted[-1])
         if held is not None:
-            yield held
+            yield pa.RecordBatch.from_arrays([*held.columns, first], [*held.schema.names, "before"])
 
     return run
 
@@ -119,22 +123,27 @@ def in_parts(places: DataFrame, full: int) -> DataFrame:
     return x.withColumn("node", node).withColumn("whole", F.col("own") == F.col("other")).drop("other")
 
 
-def _neighbourhoods(rows: DataFrame, depth: int, threshold: float, full: int) -> tuple[DataFrame, DataFrame | None]:
+def _neighbourhoods(rows: DataFrame, depth: int, threshold: float, full: int, link: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame | None]:
     """Places (node, id, own, whole, hi, lo) of one set of trees; and (id, loss) of the accounts, None if nothing was deepened."""
     kind = rows.schema["id"].dataType.simpleString()
     at = rows.select("id", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "s")).select("tree", "s.hi", "s.lo", "id")
     order = ["tree", "hi", "lo", "id"]
     # The id as last key lets the range partitions cut an overfull neighbourhood too.
-    at, _ = keep(at.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_companions(min(depth, 3)), f"tree int, hi bigint, lo bigint, id {kind}"), "sorted-sketches")
+    at, _ = keep(at.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_companions(min(depth, 3)), f"tree int, hi bigint, lo bigint, id {kind}, before {kind}"), "sorted-sketches")
+    group = F.col("id")
+    if link is not None:
+        near = at.where("before is not null and before != id").select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")).distinct()
+        at, group = at.join(link(near), "id", "left"), F.coalesce("group", "id")
+    at = at.select("tree", "hi", "lo", "id", group.alias("group"))
     found, lost = [], []
     for k in range(depth, VALUES + 1):
-        keyed = at.select(F.xxhash64("tree", F.lit(k), *_prefix(k)).alias("node"), "tree", "hi", "lo", "id")
+        keyed = at.select(F.xxhash64("tree", F.lit(k), *_prefix(k)).alias("node"), "tree", "hi", "lo", "id", "group")
         # Sizes come from partial sums and are joined back: no neighbourhood is gathered in one task.
-        held = keyed.groupBy("node").agg(F.count("*").alias("held")).where("held > 1")
+        held = keyed.groupBy("node").agg(F.count("*").alias("held"), (F.min("group") != F.max("group")).alias("open")).where("held > 1 and open").drop("open")
         x, _ = keep(keyed.join(held, "node"), "neighbourhoods")
         last = k == VALUES
         here = in_parts(x if last else x.where(f"held <= {full}"), full)
-        found.append(here.select("node", "id", "own", "whole", "hi", "lo"))
+        found.append(here.select("node", "id", "own", "whole", "hi", "lo", "group"))
         over = x.where(f"held > {full}").drop("held", "node")
         if last or over.isEmpty():
             break
@@ -144,16 +153,20 @@ def _neighbourhoods(rows: DataFrame, depth: int, threshold: float, full: int) ->
     return reduce(DataFrame.unionByName, found), losses
 
 
-def grown(sketches: Callable[[int, int, DataFrame | None], DataFrame], depth: int, threshold: float, recall: float, full: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+def grown(
+    sketches: Callable[[int, int, DataFrame | None], DataFrame], depth: int, threshold: float, recall: float, full: int, link: Callable[[DataFrame], DataFrame] | None = None
+) -> Iterator[tuple[DataFrame, DataFrame]]:
     """Sketches and places, one set of trees after the other, until every account is full.
 
-    ``sketches(first tree, number of trees, ids or None for all)`` gives rows with (id, hi, lo).
+    ``sketches(first tree, number of trees, ids or None for all)`` gives rows with (id, hi, lo).  Where only groups of
+    connected records are wanted, ``link`` is told pairs (a, b) that lie side by side in a tree and gives (id, group)
+    of what is connected so far; places all of one group are settled: neither searched nor deepened nor paid for.
     """
     need = -math.log(1 - recall)
     first, trees, only, account = 0, trees_for(depth, threshold, recall), None, None
     while True:
         rows = sketches(first, trees, only)
-        places, lost = _neighbourhoods(rows, depth, threshold, full)
+        places, lost = _neighbourhoods(rows, depth, threshold, full, link)
         yield rows, places
         if lost is None:
             return

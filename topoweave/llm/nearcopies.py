@@ -5,15 +5,18 @@ set's size.  One signature tree over all records would prune nothing near its
 root, where the OR of very many bitmaps is full; so records are first parted by
 the sorted sketches of :mod:`topoweave.llm.forest` (trees of minhash prefixes,
 so many that a pair of threshold similarity meets with the chance ``RECALL``;
-overfull places are deepened in place and paid for by further trees).
+overfull places are deepened in place and paid for by further trees).  Records
+side by side in a tree's order are verified first and their groups made; places
+all of one group are settled by that, so that a great group of similar, unequal
+records is not compared pair by pair.
 
 The records of a place stand in a signature tree: in order of their sketches,
 ``FAN`` records to a leaf, ``FAN`` nodes to the node above, up to one root, each
 node with the OR of its bitmaps and its range of sizes.  A dual traversal goes
 down from the pair (root, root): a pair of nodes is left with everything below
 it where the size ranges or the largest possible overlap rule a similarity above
-the threshold out, else all pairs of their children are visited; no bound ever
-drops an alike pair.  Surviving pairs of records are verified on the whole sets,
+the threshold out, or both lie wholly in one group, else all pairs of their
+children are visited; no bound ever drops a pair that could join two groups.  Surviving pairs of records are verified on the whole sets,
 and groups are the connected components of verified pairs.  With ``exact`` set
 all records stand in one place, in parts, and no pair is missed.
 
@@ -26,6 +29,7 @@ texts of any length are compared whole.  Other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +110,8 @@ def _set_hash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class SignatureTrees:
     """Trees over records in order of their group: at every level the span of children, OR, sizes and doubles of each node."""
 
-    def __init__(self, group: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray):
+    def __init__(self, group: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray, label: np.ndarray):
+        self.least, self.most = [label], [label]
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         size = np.diff(np.append(first, len(group)))
         self.first, self.count = [None], [None]
@@ -119,6 +124,7 @@ class SignatureTrees:
             self.maps.append(np.bitwise_or.reduceat(self.maps[-1], begin, axis=0))
             self.low.append(np.minimum.reduceat(self.low[-1], begin)), self.high.append(np.maximum.reduceat(self.high[-1], begin))
             self.loss.append(np.maximum.reduceat(self.loss[-1], begin))
+            self.least.append(np.minimum.reduceat(self.least[-1], begin)), self.most.append(np.maximum.reduceat(self.most[-1], begin))
             first, size = np.cumsum(per) - per, per
             if size.max() == 1:
                 return
@@ -126,6 +132,7 @@ class SignatureTrees:
     def may_be_alike(self, level: int, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
         low, high, maps, loss = self.low[level], self.high[level], self.maps[level], self.loss[level]
         ok = (high[x] >= low[y] * threshold - 1e-9) & (high[y] >= low[x] * threshold - 1e-9)
+        ok &= (self.least[level][x] != self.most[level][y]) | (self.most[level][x] != self.least[level][y])  # else all of one group
         at = np.flatnonzero(ok)
         x, y = x[at], y[at]
         most = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(loss[x], loss[y])
@@ -153,13 +160,13 @@ class SignatureTrees:
             yield from self.descend(level - 1, i[ok], j[ok], threshold)
 
 
-def traverse(node: np.ndarray, own: np.ndarray, whole: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray, threshold: float):
+def traverse(node: np.ndarray, own: np.ndarray, whole: np.ndarray, n: np.ndarray, doubles: np.ndarray, maps: np.ndarray, label: np.ndarray, threshold: float):
     """Pairs of rows that may be alike, of records in order of (node, own): yields (i, j) arrays.
 
     Each part ``own`` of a node is a tree; a ``whole`` one meets itself, the two parts of another node meet each other.
     """
     new = np.concatenate(([True], (node[1:] != node[:-1]) | (own[1:] != own[:-1])))
-    trees = SignatureTrees(np.cumsum(new), n, doubles, maps)
+    trees = SignatureTrees(np.cumsum(new), n, doubles, maps, label)
     at = np.flatnonzero(new)
     top, itself = len(trees.maps) - 1, np.flatnonzero(whole[at])
     yield from trees.descend(top, itself, itself, threshold)
@@ -172,7 +179,7 @@ def _traverser(threshold: float):
         ids = t.column("id").combine_chunks()
         maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
         n, doubles = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "doubles"))
-        for x, y in traverse(t.column("node").to_numpy(), t.column("own").to_numpy(), t.column("whole").to_numpy(), n, doubles, maps, threshold):
+        for x, y in traverse(t.column("node").to_numpy(), t.column("own").to_numpy(), t.column("whole").to_numpy(), n, doubles, maps, t.column("label").to_numpy(), threshold):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
 
     def run(batches):
@@ -237,18 +244,69 @@ def _sketches(texts: DataFrame, width: int, min_tokens: int, first: int, trees:
 
 
 def _meeting(rows: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, of records that come together in the signature trees of their places."""
+    """(a, b), a < b, of records of different groups that come together in the signature trees of their places."""
     kind = rows.schema["id"].dataType.simpleString()
-    at = places.join(rows.select("id", "n", "doubles", "bits"), "id").select("node", "own", "hi", "lo", "id", "n", "doubles", "bits", "whole")
-    near = at.repartition("node").sortWithinPartitions("node", "own", "hi", "lo", "id").select("node", "own", "whole", "id", "n", "doubles", "bits").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
+    # A hash stands for the group: two groups of one hash are met with a chance of 1e-19 a pair.
+    at = places.select("node", "own", "hi", "lo", "id", "whole", F.xxhash64("group").alias("label")).join(rows.select("id", "n", "doubles", "bits"), "id")
+    near = at.select("node", "own", "hi", "lo", "id", "n", "doubles", "bits", "whole", "label").repartition("node").sortWithinPartitions("node", "own", "hi", "lo", "id")
+    near = near.select("node", "own", "whole", "id", "n", "doubles", "bits", "label").mapInArrow(_traverser(threshold), f"a {kind}, b {kind}")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int, exact: bool = False) -> DataFrame:
-    """Verified pairs (a, b) of class heads; ``texts``: (id, text), ``signed``: their rows of the first trees, ``classes``: (id, h, class)."""
-    kind = texts.schema["id"].dataType.simpleString()
+def _possible(threshold: float):
+    """Pairs whose bitmaps and sizes leave it open that they are alike."""
+    need = threshold / (1 + threshold)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            maps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("bits_a", "bits_b")]
+            na, nb, da, db = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "doubles_a", "doubles_b"))
+            most = np.bitwise_count(maps[0] & maps[1]).sum(axis=1, dtype=np.int64) + np.minimum(da, db)
+            ok = (most >= (na + nb) * need - 1e-9) & (np.minimum(na, nb) >= np.maximum(na, nb) * threshold - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+class _Links:
+    """Verified pairs (a, b) of class heads, as they are found; ``texts``: (id, text), ``classes``: (id, h, class)."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int):
+        self.texts, self.classes, self.threshold, self.width, self.min_tokens, self.new, self.label = texts, classes, threshold, width, min_tokens, [], None
+
+    def verify(self, pairs: DataFrame) -> None:
+        kind = self.texts.schema["id"].dataType.simpleString()
+        pairs, _ = keep(pairs.distinct(), "alike-candidates")
+        wanted, _ = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "alike-ids")
+        runs = self.texts.join(wanted, "id", "left_semi").mapInArrow(_sets(self.width, self.min_tokens), f"id {kind}, h bigint, runs array<bigint>")
+        runs, _ = keep(runs.join(self.classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "runs"), "alike-runs")
+        x = pairs.join(runs.toDF("a", "ra"), "a").join(runs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
+        self.new.append(keep(x.mapInArrow(_alike(self.threshold), f"a {kind}, b {kind}"), "alike-pairs")[0])
+
+    def groups(self) -> DataFrame:
+        """(id, group) of what the pairs found so far connect; later pairs only join the groups of earlier ones."""
+        new, self.new = reduce(DataFrame.union, self.new), []
+        if self.label is None:
+            label = components(new, "a", "b").withColumnRenamed("component", "group")
+        elif new.isEmpty():
+            return self.label
+        else:
+            group = lambda c: self.label.select(F.col("id").alias(c), F.col("group").alias(f"g{c}"))
+            ends = new.join(group("a"), "a", "left").join(group("b"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+            joined, _ = keep(components(ends, "a", "b"), "joined-groups")
+            label = self.label.join(joined.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("component", "group").alias("group"))
+            label = label.unionByName(joined.join(self.label.select("id"), "id", "left_anti").withColumnRenamed("component", "group"))
+        self.label, _ = keep(label, "groups")
+        return self.label
+
+
+def alike_groups(texts: DataFrame, signed: DataFrame, classes: DataFrame, threshold: float, width: int, min_tokens: int, exact: bool = False) -> DataFrame:
+    """(id, group) of the class heads that have an alike one; ``signed``: the rows of the first trees."""
     # The rows that are not the head of their class; few, so that leaving them out moves no signature.
     others, _ = keep(classes.where("id != class").select("id"), "followers")
+    kind, links = texts.schema["id"].dataType.simpleString(), _Links(texts, classes, threshold, width, min_tokens)
 
     def sketches(first: int, trees: int, only: DataFrame | None) -> DataFrame:
         if only is None:
@@ -256,21 +314,19 @@ def alike_pairs(texts: DataFrame, signed: DataFrame, classes: DataFrame, thresho
         rows = _sketches(texts.join(only, "id", "left_semi"), width, min_tokens, first, trees)
         return rows.join(classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"])
 
-    found = None
+    def link(near: DataFrame) -> DataFrame:
+        side = lambda s: signed.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("doubles").alias(f"doubles_{s}"), F.col("bits").alias(f"bits_{s}"))
+        links.verify(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(threshold), f"a {kind}, b {kind}"))
+        return links.groups()
+
     if exact:
         rows = sketches(0, 0, None)
-        one = rows.select(F.lit(0).cast("bigint").alias("node"), "id", F.col("hi")[0].alias("hi"), F.col("lo")[0].alias("lo")).crossJoin(rows.agg(F.count("*").alias("held")))  # one row
-        found = _meeting(rows, in_parts(one, FULL), threshold)
+        one = rows.select(F.lit(0).cast("bigint").alias("node"), "id", F.col("hi")[0].alias("hi"), F.col("lo")[0].alias("lo"), F.col("id").alias("group")).crossJoin(rows.agg(F.count("*").alias("held")))  # one row
+        links.verify(_meeting(rows, in_parts(one, FULL), threshold))
     else:
-        for rows, places in grown(sketches, DEPTH, threshold, RECALL, FULL):
-            near = _meeting(rows, places, threshold)
-            found = near if found is None else found.union(near)
-    found, _ = keep(found.distinct(), "alike-candidates")
-    wanted, _ = keep(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "alike-ids")
-    runs = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width, min_tokens), f"id {kind}, h bigint, runs array<bigint>")
-    runs, _ = keep(runs.join(classes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "runs"), "alike-runs")
-    x = found.join(runs.toDF("a", "ra"), "a").join(runs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
-    return x.mapInArrow(_alike(threshold), f"a {kind}, b {kind}")
+        for rows, places in grown(sketches, DEPTH, threshold, RECALL, FULL, link):
+            links.verify(_meeting(rows, places, threshold))
+    return links.groups()
 
 
 def text_sets(texts: DataFrame, width: int = 3, min_tokens: int = 40) -> DataFrame:
@@ -290,6 +346,5 @@ def near_copies(records: DataFrame, record_id: str, text: str, threshold: float
     if not repeated.isEmpty():
         once = signed.join(repeated, ["id", "h"], "left_semi").dropDuplicates(["id"])
         signed, _ = keep(signed.join(repeated, "id", "left_anti").unionByName(once), "signatures")
-    links = alike_pairs(texts, signed, classes, threshold, width, min_tokens, exact)
-    groups = components(links, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("group"))
+    groups = alike_groups(texts, signed, classes, threshold, width, min_tokens, exact).withColumnRenamed("id", "class")
     return classes.join(groups, "class", "left").select("id", "class", F.coalesce("group", "class").alias("group"))
