@@ -4,8 +4,10 @@ A reference is a value in a child row that should name a parent valid at the
 child's time.  The keys are first made distinct per period (a hot key becomes
 one row per period, combined before the shuffle) and anti-joined with the
 parents' validity; only the few (key, period) groups not wholly covered are
-joined back to the child rows, where each row is judged at its own time.  All
-large joins run on (key, period), so that no key, however hot, meets one task.
+joined back to the child rows, where each row is judged at its own time.  Child
+rows are joined on (key, period), so that no key, however hot, meets one task;
+on the key alone run only joins of what was reduced before: a row per key and
+month, and the parents' disjoint spans of validity, made per key and day.
 
 Defined results: null and blank keys are no references; surrounding blanks and
 tabs are not part of a key.  A reference without a time is an orphan (nothing
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from topoweave.plans.tables import at_most, keep
 
-#: A scope table of at most so many rows is broadcast; a larger one is joined after aggregation.
+#: A scope table of at most so many rows is broadcast; with a larger one the references are joined by shuffle.
 SCOPE_BROADCAST_ROWS = 10_000
 
 _FOREVER = "9999-12-31 00:00:00"
@@ -53,20 +55,20 @@ def parent_rows(df: DataFrame, key: str, valid_from: str, valid_to: str | None)
 
 
 def _coverage(parents: DataFrame) -> DataFrame:
-    """Disjoint validity spans per key and month in which they begin."""
+    """Validity spans per key, disjoint among those that begin on one day."""
     p = (
         parents.where("key is not null and valid_from is not null")
         .withColumn("valid_to", F.coalesce("valid_to", F.lit(_FOREVER).cast("timestamp_ntz")))
         .where("valid_to > valid_from")
         .groupBy("key", "valid_from")
         .agg(F.max("valid_to").alias("valid_to"))
-        .withColumn("month", F.trunc("valid_from", "month"))
+        .withColumn("day", F.to_date("valid_from"))
     )
-    w = Window.partitionBy("key", "month").orderBy("valid_from")
+    w = Window.partitionBy("key", "day").orderBy("valid_from")
     before = F.max("valid_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
     p = p.withColumn("opens", (before.isNull() | (F.col("valid_from") > before)).cast("int"))
     p = p.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return p.groupBy("key", "month", "island").agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to")).select("key", "valid_from", "valid_to")
+    return p.groupBy("key", "day", "island").agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to")).select("key", "valid_from", "valid_to")
 
 
 def with_period(refs: DataFrame) -> DataFrame:
