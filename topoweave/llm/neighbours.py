@@ -8,8 +8,11 @@ neighbours becoming neighbours where they are nearer, until few lists change or
 into.  Vectors travel as 8-bit codes of their unit vector, a quarter of their
 size; what is returned is measured again on the exact vectors.
 
-Equal vectors are one vertex, so that copies, however many, neither crowd a leaf
-nor a list.  The fitted trees are of a depth that their sample can bear; larger
+Equal vectors are one vertex, and vertices of equal code one cell of the graph, so
+that copies, however many, neither crowd a leaf nor a list.  Codes cannot rank
+vectors that differ by less than a code step or little more; where more than ``K``
+vertices lie within a similarity of ``FINE``, they and what is linked to them get
+a graph of their own on exact vectors and squared distances.  The fitted trees are of a depth that their sample can bear; larger
 leaves are halved further along random directions in the task that holds them.
 In-degrees are unbounded, so a round takes the ``K`` nearest
 reverse neighbours of each vertex, chosen before the shuffle as well as after.
@@ -42,11 +45,17 @@ SAMPLE = 20_000
 ROUNDS = 7
 #: Rounds end when fewer than this share of all list entries changed.
 LEAST_CHANGE = 0.01
+#: Similarity from which codes no longer rank neighbours safely (their error is then some hundredths of the distance).
+FINE = 0.98
 BEAM = 96
+#: Nearest vertices of a query whose neighbours are measured exactly at the end of its search.
+LAST_OPENED = 3
 #: Vectors of a leaf (those of least id hash) from which a search that falls into it begins.
 ENTRIES = 320
 OPENED = 12
 QUERY_BLOCK = 2_000
+#: Below every cosine and every negative squared distance of unit vectors.
+UNKNOWN = -9.0
 
 #: Lists travel whole, a row per vertex and source of candidates.
 _ROW = "id bigint, nbrs array<bigint>, sims array<float>, fresh array<boolean>"
@@ -86,6 +95,29 @@ def units(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _raw(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in _matrix(batch.column("vector"), np.float32)], pa.binary())], ["id", "code"])
+
+
+def exact_units(column) -> np.ndarray:
+    """Unit vectors (float64) of a column of whole vectors."""
+    raw = column.to_pylist()
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _similarities(v: np.ndarray) -> np.ndarray:
+    """Of all pairs of rows: cosines of decoded codes, negative squared distances of whole vectors, which keep their precision near 0."""
+    if v.dtype == np.float32:
+        return v @ np.swapaxes(v, -1, -2)
+    c = v - v[..., :1, :]
+    q = (c * c).sum(axis=-1)
+    return np.minimum(2 * (c @ np.swapaxes(c, -1, -2)) - q[..., :, None] - q[..., None, :], 0)
+
+
 def vertices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, code) of one vertex per distinct vector, and (id, vertex) of all vectors."""
     v = vectors.withColumn("h", F.xxhash64("vector"))
@@ -122,7 +154,7 @@ class Trees:
         return node
 
 
-def fit_trees(codes: DataFrame, total: int, trees: int = TREES) -> Trees:
+def fit_trees(codes: DataFrame, total: int, trees: int = TREES, decode=units) -> Trees:
     """Trees of as many levels as the sample can fit; leaves above ``LEAF`` are split further where they lie.
 
     Beyond that depth only so many levels are added as keep a leaf at about ``LEAF_ROWS`` vectors.
@@ -130,16 +162,16 @@ def fit_trees(codes: DataFrame, total: int, trees: int = TREES) -> Trees:
     depth = max(0, math.ceil(math.log2(max(1, total) / LEAF)))
     depth = max(min(depth, int(math.log2(SAMPLE / 32))), math.ceil(math.log2(max(1, total) / LEAF_ROWS)))
     some = codes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").toArrow()
-    return Trees(units(some.column("code")) if some.num_rows else np.zeros((0, 1), np.float32), depth, trees)
+    return Trees(decode(some.column("code")) if some.num_rows else np.zeros((0, 1), np.float32), depth, trees)
 
 
-def leaf_rows(codes: DataFrame, shared, trees: int) -> DataFrame:
+def leaf_rows(codes: DataFrame, shared, trees: int, decode=units) -> DataFrame:
     """(leaf, id, code) for every vertex and tree."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = units(batch.column("code"))
+                x = decode(batch.column("code"))
                 for t in range(trees):
                     leaf = shared.value.leaves(x, t) * TREES + t
                     yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("id"), batch.column("code")], ["leaf", "id", "code"])
@@ -197,19 +229,19 @@ def _split(rows: np.ndarray, x: np.ndarray, most: int, seed: int):
         todo += [order[: len(part) // 2], order[len(part) // 2 :]]
 
 
-def _leaf_lists(k: int):
+def _leaf_lists(k: int, decode=units):
     """The k nearest of every row inside its leaf."""
 
     def run(batches):
         for t in _grouped(batches, "leaf"):
-            ids, x = t.column("id").to_numpy(), units(t.column("code"))
+            ids, x = t.column("id").to_numpy(), decode(t.column("code"))
             out: list[tuple] = []
             for first, n in zip(*_spans(t.column("leaf").to_numpy())):
                 for part in _split(np.arange(first, first + n), x, 2 * LEAF, int(t.column("leaf")[first].as_py())):
                     if len(part) < 2:
                         continue
-                    s = x[part] @ x[part].T
-                    np.fill_diagonal(s, -2)
+                    s = _similarities(x[part])
+                    np.fill_diagonal(s, UNKNOWN)
                     m = min(k, len(part) - 1)
                     best = np.argpartition(-s, m - 1, axis=1)[:, :m]
                     out.append((np.repeat(ids[part], m), ids[part][best].reshape(-1), np.take_along_axis(s, best, 1).reshape(-1)))
@@ -243,49 +275,53 @@ def _best(k: int):
     return run
 
 
-def _local_join(batches):
+def _local_join(decode=units):
     """All pairs of members of a centre of which one is fresh, where they would enter a list."""
-    for t in _grouped(batches, "centre"):
-        first, size = _spans(t.column("centre").to_numpy())
-        ids, x = t.column("member").to_numpy(), units(t.column("code"))
-        fresh, worst = t.column("fresh").to_numpy(), t.column("worst").to_numpy()
-        width = int(size.max())
-        for g in range(0, len(first), 512):
-            fs, sz = first[g : g + 512], size[g : g + 512]
-            at = fs[:, None] + np.minimum(np.arange(width)[None, :], sz[:, None] - 1)
-            real = np.arange(width)[None, :] < sz[:, None]
-            v = x[at]
-            s = v @ v.transpose(0, 2, 1)
-            i, f, w = ids[at], fresh[at], worst[at]
-            ok = real[:, :, None] & real[:, None, :] & (f[:, :, None] | f[:, None, :]) & (i[:, :, None] != i[:, None, :]) & (s > w[:, :, None])
-            b, p, q = np.nonzero(ok)
-            if len(b):
-                left, right, sim = i[b, p], i[b, q], s[b, p, q]
-                order = np.lexsort((right, left))
-                left, right, sim = left[order], right[order], sim[order]
-                new = np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
-                yield _listed(left[new], right[new], sim[new])
-
-
-def neighbour_graph(codes: DataFrame, k: int = K, trees: int = TREES, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(id, nbr, sim, fresh) of the k nearest vertices of every vertex, sim from codes; and (leaf, id) of all trees."""
+
+    def run(batches):
+        for t in _grouped(batches, "centre"):
+            first, size = _spans(t.column("centre").to_numpy())
+            ids, x = t.column("member").to_numpy(), decode(t.column("code"))
+            fresh, worst = t.column("fresh").to_numpy(), t.column("worst").to_numpy()
+            width = int(size.max())
+            for g in range(0, len(first), 512):
+                fs, sz = first[g : g + 512], size[g : g + 512]
+                at = fs[:, None] + np.minimum(np.arange(width)[None, :], sz[:, None] - 1)
+                real = np.arange(width)[None, :] < sz[:, None]
+                v = x[at]
+                s = _similarities(v)
+                i, f, w = ids[at], fresh[at], worst[at]
+                ok = real[:, :, None] & real[:, None, :] & (f[:, :, None] | f[:, None, :]) & (i[:, :, None] != i[:, None, :]) & (s > w[:, :, None])
+                b, p, q = np.nonzero(ok)
+                if len(b):
+                    left, right, sim = i[b, p], i[b, q], s[b, p, q]
+                    order = np.lexsort((right, left))
+                    left, right, sim = left[order], right[order], sim[order]
+                    new = np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+                    yield _listed(left[new], right[new], sim[new])
+
+    return run
+
+
+def neighbour_graph(codes: DataFrame, k: int = K, trees: int = TREES, rounds: int = ROUNDS, decode=units) -> tuple[DataFrame, DataFrame]:
+    """(id, nbr, sim, fresh) of the k nearest vertices of every vertex, sim from what ``decode`` makes of ``code``; and (leaf, id) of all trees."""
     spark = codes.sparkSession
     total = codes.count()
-    shared = spark.sparkContext.broadcast(fit_trees(codes, total, trees))
-    leaves = leaf_rows(codes, shared, trees)
-    start = leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_leaf_lists(k // 2), _ROW)
+    shared = spark.sparkContext.broadcast(fit_trees(codes, total, trees, decode))
+    leaves = leaf_rows(codes, shared, trees, decode)
+    start = leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_leaf_lists(k // 2, decode), _ROW)
     graph, path = keep(best(start, k), "graph")
     for _ in range(rounds):
         entries = flat(graph)
         # Lists that are not full yet take anything.
-        worst = graph.select(F.col("id").alias("member"), F.when(F.size("nbrs") >= k, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        worst = graph.select(F.col("id").alias("member"), F.when(F.size("nbrs") >= k, F.array_min("sims")).otherwise(F.lit(UNKNOWN)).cast("float").alias("worst"))
         nearest = Window.partitionBy("centre").orderBy(F.desc("sim"), "member")
         back = entries.select(F.col("nbr").alias("centre"), F.col("id").alias("member"), "sim", "fresh").withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).drop("nth")
         members = entries.select(F.col("id").alias("centre"), F.col("nbr").alias("member"), "sim", "fresh").unionByName(back)
         members = members.groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
-        vectors = codes.withColumnRenamed("id", "member").join(worst, "member", "left").fillna(-2.0, ["worst"])
+        vectors = codes.withColumnRenamed("id", "member").join(worst, "member", "left").fillna(UNKNOWN, ["worst"])
         local = members.join(vectors, "member").select("centre", "member", "fresh", "worst", "code")
-        found = local.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join, _ROW)
+        found = local.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(decode), _ROW)
         known = graph.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
         nxt, used = keep(best(known.unionByName(found), k), "graph")
         drop(spark, path)
@@ -296,6 +332,40 @@ def neighbour_graph(codes: DataFrame, k: int = K, trees: int = TREES, rounds: in
     return flat(graph), leaves.select("leaf", "id")
 
 
+def vector_graph(vectors: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, nbr, sim) of near vertices of every vertex of ``codes``, crowded places settled on exact vectors; and (leaf, id) of the cells.
+
+    A cell, the vertices of one code, goes by its least id.  It is crowded if it and its
+    neighbours of at least ``FINE`` hold more than ``K`` vertices.  Links between other
+    cells are links of all their vertices, fewer than ``K`` a cell.
+    """
+    cells, _ = keep(codes.groupBy("code").agg(F.min("id").alias("cell"), F.count("*").alias("n")), "cells")
+    coarse, leaves = neighbour_graph(cells.select(F.col("cell").alias("id"), "code"))
+    coarse = coarse.select("id", "nbr", "sim")
+    shared_cells, _ = keep(codes.join(cells.where("n > 1"), "code").select("id", "cell", "n"), "shared-cells")
+    sizes = shared_cells.select("cell", "n").distinct()
+    # Only surplus vertices need counting: every neighbour is one, and one more for each further vertex of its cell.
+    surplus = coarse.where(F.col("sim") >= FINE).join(sizes.withColumnRenamed("cell", "nbr"), "nbr", "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("m"))
+    held = surplus.unionByName(sizes.select(F.col("cell").alias("id"), (F.col("n") - 1).alias("m")))
+    # A full list that ends above FINE has no room for more, so it may hide others.
+    crowded, _ = keep(held.groupBy("id").agg(F.sum("m").alias("m")).where(F.col("m") >= K).select("id"), "crowded")
+    loose, _ = keep(shared_cells.join(crowded.withColumnRenamed("id", "cell"), "cell", "left_anti").select("cell", F.col("id").alias("member")), "loose")
+    if not loose.isEmpty():
+        to = coarse.join(loose.toDF("nbr", "b"), "nbr", "left").withColumn("nbr", F.coalesce("b", "nbr"))
+        both = to.join(loose.toDF("id", "a"), "id", "left").select(F.coalesce("a", "id").alias("id"), "nbr", "sim")
+        inside = loose.toDF("cell", "id").join(loose.toDF("cell", "nbr"), "cell").where("id != nbr").select("id", "nbr", F.lit(1.0).cast("float").alias("sim"))
+        coarse = both.unionByName(inside)
+    if crowded.isEmpty():
+        return coarse, leaves
+    # Cells of all vertices near a crowded one, and their whole vectors.
+    touching = coarse.join(crowded, "id", "left_semi").select(F.col("nbr").alias("id")).union(coarse.join(crowded.toDF("nbr"), "nbr", "left_semi").select("id")).union(crowded).distinct()
+    members = touching.union(shared_cells.join(touching.toDF("cell"), "cell", "left_semi").select("id")).distinct()
+    whole, _ = keep(vectors.join(members, "id", "left_semi").select("id", "vector").mapInArrow(_raw, "id bigint, code binary"), "whole")
+    fine, _ = neighbour_graph(whole, decode=exact_units)
+    fine = fine.select("id", "nbr", (1 + F.col("sim") / 2).cast("float").alias("sim"))
+    return coarse.unionByName(fine).groupBy("id", "nbr").agg(F.max("sim").alias("sim")), leaves
+
+
 def _cosines(batches):
     for batch in batches:
         if batch.num_rows:
@@ -340,7 +410,11 @@ def search_rows(queries: DataFrame, vectors: DataFrame, codes: DataFrame, owners
     begun = leaf_rows(codes.join(own, "id", "left_semi"), shared, TREES).groupBy("id", "code").agg(F.collect_list("leaf").alias("leaves")).withColumnRenamed("id", "query")
     # A query's own vertex takes one of the places and holds its copies.
     found = search(begun, codes, graph, leaves, k + 1).select("query", "id").union(own.select("id", "id")).distinct()
-    rows = _nearest_rows(found.toDF("vertex", "nbr_vertex"), asked, owners, vectors, k)
+    # Codes do not order near-copies: the neighbours of the exactly nearest are measured too.
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    best_, _ = keep(exact(found, vectors, "query", "id").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LAST_OPENED).select("query", "id"), "nearest-found")
+    beside = best_.join(graph.select("id", "nbr"), "id").select("query", F.col("nbr").alias("id"))
+    rows = _nearest_rows(found.union(beside).distinct().toDF("vertex", "nbr_vertex"), asked, owners, vectors, k)
     return rows.select(F.col("id").alias("query"), F.col("nbr").alias("id"), "similarity")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topoweave.llm.neighbours import brute_force, nearest_pairs, neighbour_graph, search_rows, usable, vertices
+from topoweave.llm.neighbours import brute_force, nearest_pairs, search_rows, usable, vector_graph, vertices
 from topoweave.plans.tables import keep, table
 
 MODEL = "codemini-2"
@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of cosine >= 0.88, one among the 5 most similar of the other."""
     vectors = _vectors(spark, d)
     codes, owners = vertices(vectors)
-    graph, _ = neighbour_graph(codes)
+    graph, _ = vector_graph(vectors, codes)
     pairs = nearest_pairs(vectors, graph, owners, 5, 0.88)
     return pairs.select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
 
@@ -30,14 +30,14 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar vectors of every vector."""
     vectors = _vectors(spark, d)
     codes, owners = vertices(vectors)
-    graph, _ = neighbour_graph(codes)
+    graph, _ = vector_graph(vectors, codes)
     return nearest_pairs(vectors, graph, owners, 5).select(F.col("id").alias("vec_id"), "rank", F.col("nbr").alias("neighbour_id"), "similarity")
 
 
 def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     vectors = _vectors(spark, d)
     codes, owners = vertices(vectors)
-    graph, leaves = neighbour_graph(codes)
+    graph, leaves = vector_graph(vectors, codes)
     queries = vectors.where("id % 100 = 0")
     return vectors, queries, search_rows(queries, vectors, codes, owners, graph, leaves)
 
@@ -65,7 +65,7 @@ def p2_graph_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the neighbour graph for every vector whose id is divisible by 100."""
     vectors = _vectors(spark, d)
     codes, owners = vertices(vectors)
-    graph, _ = neighbour_graph(codes)
+    graph, _ = vector_graph(vectors, codes)
     found, _ = keep(nearest_pairs(vectors, graph, owners, 5).where("id % 100 = 0").select(F.col("id").alias("query"), "similarity"), "graph-nearest")
     return _recall(vectors.where("id % 100 = 0"), vectors, found)
 
