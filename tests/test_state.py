@@ -125,3 +125,24 @@ def test_duplicate_groups(spark):
     assert scored(candidates(df), df, least=1.0).count() == 1
     members, summary = duplicate_groups(df, 0.6)
     assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 1), (3, 1)} and summary.first().n_pairs == 2
+
+
+def test_store_of_keyed_rows(spark, tmp_path):
+    schema = "id string, v int, at int"
+    row = lambda *r: spark.createDataFrame([*r], schema)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "id string")
+    held = lambda df: sorted((r["id"], r.v) for r in df.collect())
+    s = Versions(spark, str(tmp_path / "store"), buckets=4)
+    assert s.count(schema) == 0 and held(s.get(keys("a"), schema)) == []
+    s.delete(keys("a"), schema)  # nothing there to take out
+    s.upsert(row(*[(f"k{i}", i, 1) for i in range(20)]), "id", ["at"])
+    s.upsert(row(("k1", 100, 2), ("k2", 200, 0)), "id", ["at"])
+    assert held(s.get(keys("k1", "k1", "k2", "none", None), schema)) == [("k1", 100), ("k2", 2)]
+    s.delete(keys("k1", "k3", "none", None), schema)
+    again = Versions(spark, str(tmp_path / "store"), buckets=4)
+    assert again.count(schema) == 18 and held(again.get(keys("k1", "k2"), schema)) == [("k2", 2)]
+    again.delete(again.rows(schema).select("id"), schema)  # every bucket becomes empty
+    assert again.count(schema) == 0 and Versions(spark, str(tmp_path / "store"), buckets=4).count(schema) == 0
+    again.upsert(row(("x", 1, 1)), "id", ["at"])
+    again.clear()
+    assert Versions(spark, str(tmp_path / "store"), buckets=4).count(schema) == 0

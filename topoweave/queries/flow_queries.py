@@ -16,7 +16,7 @@ from topoweave.operators.traverse import call_chain, connected, directed, distan
 from topoweave.plans.tables import keep, table
 from topoweave.queries import graph_queries as gq
 from topoweave.queries.graph_sql import NODE, reached, sql
-from topoweave.streaming.changes import apply_edge_delta, apply_node_delta, as_of, counts_by_stream, edge_delta, edges_as_of, latest_by_stream, node_delta, refresh, remove_module, replace_files, table_stream, windowed_counts
+from topoweave.streaming.changes import Versions, apply_edge_delta, apply_node_delta, as_of, counts_by_stream, edge_delta, edges_as_of, latest_by_stream, node_delta, refresh, remove_module, replace_files, table_stream, windowed_counts
 from topoweave.sources.files import latest_files
 from topoweave.sources.pysource import extract, relationships, symbols
 
@@ -560,7 +560,10 @@ def _(spark, d):
     return fp.join(have, ["node_id", "source_hash"], "left_anti")
 
 
-@register("m17_vector_store", """SELECT function_id, arg_max(vec_id, (created_at, vec_id)) AS vec_id FROM function_vectors WHERE model_name = 'codemini-2' AND function_id IN (SELECT id FROM nodes WHERE deleted_at IS NULL) GROUP BY 1""", graph=False)
+_STORED = """SELECT function_id, arg_max(vec_id, (created_at, vec_id)) AS vec_id FROM function_vectors WHERE model_name = 'codemini-2' AND function_id IN (SELECT id FROM nodes WHERE deleted_at IS NULL) GROUP BY 1"""
+
+
+@register("m17_vector_store", _STORED, graph=False)
 def _(spark, d):
     """The keyed store after all upserts, vectors of symbols deleted since being taken out."""
     v = table(spark, d, "function_vectors").where("model_name = 'codemini-2'")
@@ -568,6 +571,17 @@ def _(spark, d):
     return v.join(alive, "function_id", "left_semi").groupBy("function_id").agg(F.max(F.struct("created_at", "vec_id")).alias("m")).select("function_id", "m.vec_id")
 
 
+@register("m17_kept_store", _STORED, graph=False)
+def _(spark, d):
+    """The same by the stored table itself: vectors upserted, those of symbols no longer there deleted, the rest read."""
+    v = table(spark, d, "function_vectors").where("model_name = 'codemini-2' and function_id is not null").select("function_id", "vec_id", "created_at")
+    alive = table(spark, d, "nodes").where("deleted_at is null").select(F.col("id").alias("function_id"))
+    store = Versions(spark)
+    store.upsert(v, "function_id", ["created_at", "vec_id"])
+    store.delete(store.rows(v.schema).select("function_id").join(alive, "function_id", "left_anti"), v.schema)
+    return store.rows(v.schema).select("function_id", "vec_id")
+
+
 # -- layouts -------------------------------------------------------------------------
 
 _FIT = "SELECT id, round((x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0) * (1200 * 2 * sqrt(n) - 160) + 80, 2) AS x, round((y - min(y) OVER ()) / nullif(max(y) OVER () - min(y) OVER (), 0) * (800 * 2 * sqrt(n) - 160) + 80, 2) AS y FROM p"

@@ -22,6 +22,9 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return r.parquet(path) if folder else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+_MANIFEST = "bucket int, version bigint"
+
+
 class Versions:
     """A keyed state table in a folder, from which a restarted driver goes on.
 
@@ -36,7 +39,7 @@ class Versions:
         done = [int(str(s.getPath().getParent().getName()).partition("=")[2]) for s in self._found(f"{self.folder}/manifest/v=*/_SUCCESS")]
         self.version, self.where, self.replaced = max(done, default=-1), {}, []
         if done:
-            rows = spark.read.parquet(f"{self.folder}/manifest/v={self.version}").collect()  # a row per bucket
+            rows = spark.read.schema(_MANIFEST).parquet(f"{self.folder}/manifest/v={self.version}").collect()  # a row per bucket
             self.where = {r["bucket"]: r["version"] for r in rows}
 
     def _found(self, pattern: str) -> list:
@@ -53,20 +56,52 @@ class Versions:
         version = self.version + 1 if version is None else version
         if version <= self.version:
             return
-        keys = [key] if isinstance(key, str) else key
-        columns, bucket = batch.columns, F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        keys, columns = [key] if isinstance(key, str) else key, batch.columns
         new, path = keep(batch, "batch")
-        touched = {r["b"] for r in new.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets`` rows
+        touched = self._buckets(new, keys)
         rows = self.rows(batch.schema, touched).select(*columns).unionByName(new)
         best = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), F.struct(*order)).alias("r")).select(*keys, "r.*")
-        best.select(*columns, bucket.alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/v={version}")
-        where = self.where | {b: version for b in touched}
-        manifest = self.spark.createDataFrame(sorted(where.items()), "bucket int, version bigint")
+        self._write(best.select(*columns), keys, touched, version)
+        drop(self.spark, path)
+
+    def get(self, keys: DataFrame, schema) -> DataFrame:
+        """The rows of some keys (the columns of ``keys``, without nulls); only their buckets are read."""
+        return self.rows(schema, self._buckets(keys, keys.columns)).join(keys.distinct(), keys.columns, "left_semi")
+
+    def delete(self, keys: DataFrame, schema) -> None:
+        """Take out the rows of some keys (the columns of ``keys``, without nulls), rewriting only their buckets."""
+        gone, path = keep(keys.distinct(), "gone")
+        touched = self._buckets(gone, keys.columns) & set(self.where)
+        self._write(self.rows(schema, touched).join(gone, keys.columns, "left_anti"), keys.columns, touched, self.version + 1)
+        drop(self.spark, path)
+
+    def clear(self) -> None:
+        """Take out all rows."""
+        self._publish({}, self.version + 1)
+
+    def count(self, schema) -> int:
+        return self.rows(schema).count()
+
+    def _bucket(self, keys: list[str]):
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def _buckets(self, rows: DataFrame, keys: list[str]) -> set[int]:
+        return {r["b"] for r in rows.select(self._bucket(keys).alias("b")).distinct().collect()}  # at most ``buckets`` rows
+
+    def _write(self, rows: DataFrame, keys: list[str], touched: set[int], version: int) -> None:
+        """``rows`` become all that the touched buckets hold."""
+        data = f"{self.folder}/data/v={version}"
+        rows.withColumn("bucket", self._bucket(keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        held = {int(str(f.getPath().getName()).partition("=")[2]) for f in self._found(f"{data}/bucket=*")}  # an emptied bucket has no folder
+        self._publish({b: v for b, v in self.where.items() if b not in touched} | dict.fromkeys(held, version), version)
+
+    def _publish(self, where: dict[int, int], version: int) -> None:
+        manifest = self.spark.createDataFrame(sorted(where.items()), _MANIFEST)
         manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/v={version}")
-        for p in [path, *self.replaced]:
+        for p in self.replaced:
             drop(self.spark, p)
         # What this version replaced goes with the next one, when nothing reads it any more.
-        self.replaced = [f"{self.folder}/data/v={v}/bucket={b}" for b, v in self.where.items() if where[b] != v]
+        self.replaced = [f"{self.folder}/data/v={v}/bucket={b}" for b, v in self.where.items() if where.get(b) != v]
         self.version, self.where = version, where
 
 
