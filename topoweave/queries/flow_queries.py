@@ -86,6 +86,16 @@ def _(g, spark, d):
     return distances(directed(inner), _one(spark, m), 6)
 
 
+_FAR8 = """inner_steps AS (SELECT DISTINCT source AS u, target AS v FROM ge WHERE __TYPES__ AND source <> target AND target IN (SELECT id FROM cn)),
+dist(id, d) USING KEY (id) AS (SELECT id, 0 FROM mid UNION SELECT DISTINCT e.v, r.d + 1 FROM dist r JOIN inner_steps e ON e.u = r.id WHERE e.v NOT IN (SELECT id FROM recurring.dist)__BOUND__),
+far AS (SELECT id FROM dist WHERE d > 0 ORDER BY d DESC, id LIMIT 1)"""
+_CALLED = _FAR8.replace("__TYPES__", "edge_type = 'calls'")
+# Walks are cut where the end is out of reach, so that only the paths asked for are walked to the end.
+_WALK8 = """home(id, d) USING KEY (id) AS (SELECT id, 0 FROM far UNION SELECT DISTINCT e.u, r.d + 1 FROM home r JOIN inner_steps e ON e.v = r.id WHERE r.d < 8 AND e.u NOT IN (SELECT id FROM recurring.home)),
+walk(id, path) AS (SELECT id, [id] FROM mid UNION ALL SELECT e.v, list_append(w.path, e.v) FROM walk w JOIN inner_steps e ON e.u = w.id JOIN home h ON h.id = e.v
+  WHERE len(w.path) + h.d <= 8 AND w.id NOT IN (SELECT id FROM far) AND NOT list_contains(w.path, e.v))"""
+
+
 _WALK = "walk(id, path) AS (SELECT id, [id] FROM mid UNION SELECT e.target, list_append(w.path, e.target) FROM walk w JOIN calls e ON e.source = w.id WHERE len(w.path) <= 6 AND NOT list_contains(w.path, e.target) AND e.target IN (SELECT id FROM cn))"
 
 
@@ -127,26 +137,26 @@ def isolate_deep(g, spark, d):
     return g.nodes.join(ids.union(inside), "id", "left_semi").select(*SHOWN)
 
 
-@register("g10_all_call_distances")
+@register("g10_all_call_distances", sql("SELECT id, d AS depth FROM dist", _CALLED.replace("__BOUND__", "")))
 def all_call_distances(g, spark, d):
     """Every node called from the middle, over chains of any length."""
     inner = g.edges_of_types("calls").join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi")
     return distances(keep(directed(inner), "inner-calls")[0], _one(spark, gq.middle(g)))
 
 
-@register("g7_shortest_path_all_types")
+@register("g7_shortest_path_all_types", sql("SELECT path FROM walk WHERE id IN (SELECT id FROM far) ORDER BY len(path), path LIMIT 1", _FAR8.replace("__TYPES__", "true").replace("__BOUND__", " AND r.d < 8"), _WALK8))
 def shortest_path_all_types(g, spark, d):
     m, far, inner = _ends(g, spark)
     return shortest_path(inner, m, far)
 
 
-@register("g8_all_paths_all_types")
+@register("g8_all_paths_all_types", sql("SELECT path FROM walk WHERE id IN (SELECT id FROM far)", _FAR8.replace("__TYPES__", "true").replace("__BOUND__", " AND r.d < 8"), _WALK8))
 def all_paths_all_types(g, spark, d):
     m, far, inner = _ends(g, spark)
     return simple_paths(inner, _one(spark, m), _one(spark, far), 8)
 
 
-@register("g12_call_chain_deep")
+@register("g12_call_chain_deep", sql("SELECT DISTINCT unnest(path) AS id FROM walk WHERE id IN (SELECT id FROM far)", _CALLED.replace("__BOUND__", " AND r.d < 8"), _WALK8))
 def call_chain_deep(g, spark, d):
     m, far, inner = _ends(g, spark, "calls")
     return simple_paths(inner, _one(spark, m), _one(spark, far), 8).select(F.explode("path").alias("id")).distinct()
@@ -318,7 +328,7 @@ def _(g, spark, d):
     return cycles(g.edges_of_types("calls", "imports"), 4)
 
 
-@register("c3_all_layers")
+@register("c3_all_layers", sql("SELECT n.id, n.c AS component, max(l.d) AS layer FROM nm n JOIN lay l ON l.c = n.c GROUP BY 1, 2", *_mutual("dep"), _LAYERS.replace(" WHERE edge_type IN ('imports', 'inherits')", "")))
 def all_layers(g, spark, d):
     """Layers over relationships of every type."""
     return layers(g.edges, g.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct())
@@ -355,11 +365,16 @@ def _(g, spark, d):
     return pagerank(g.edges, v).orderBy(F.desc("rank"), "id").limit(20)
 
 
-@register("c7_import_bottlenecks")
+_BETWEEN = """st AS (SELECT DISTINCT source AS u, target AS v FROM ge WHERE edge_type = 'imports' AND source <> target), vs AS (SELECT source AS id FROM ge WHERE edge_type = 'imports' UNION SELECT target FROM ge WHERE edge_type = 'imports'),
+sp(s, v, d, n) USING KEY (s, v) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM vs UNION SELECT r.s, e.v, r.d + 1, sum(r.n) FROM sp r JOIN st e ON e.u = r.v LEFT JOIN recurring.sp k ON k.s = r.s AND k.v = e.v WHERE k.s IS NULL GROUP BY 1, 2, 3),
+bt AS (SELECT a.v AS id, sum(a.n * b.n / t.n) / ((SELECT count(*) - 1 FROM vs) * (SELECT count(*) - 2 FROM vs)) AS score FROM sp a JOIN sp b ON b.s = a.v JOIN sp t ON t.s = a.s AND t.v = b.v WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = t.d GROUP BY 1)"""
+
+
+@register("c7_import_bottlenecks", sql("SELECT id, round(score, 9) AS score FROM bt", _BETWEEN))
 def _(g, spark, d):
     i = g.edges_of_types("imports")
     v = i.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    return betweenness(i, v).where("score > 0")
+    return betweenness(i, v).where("score > 0").withColumn("score", F.round("score", 9))
 
 
 _EX = "name IN (" + ", ".join(f"'{x}'" for x in EXEMPT) + ")"
@@ -471,6 +486,7 @@ sg AS (SELECT c.a, c.b, [
   FROM cand c JOIN f2 x ON x.fp_id = c.a JOIN f2 y ON y.fp_id = c.b LEFT JOIN gb g ON g.a = c.a AND g.b = c.b LEFT JOIN gc gx ON gx.fp_id = c.a LEFT JOIN gc gy ON gy.fp_id = c.b),
 sc AS (SELECT a, b, round(list_sum(list_transform(generate_series(1, 10), lambda i: coalesce(s[i], 0) * w[i])) / list_sum(list_transform(generate_series(1, 10), lambda i: CASE WHEN s[i] IS NULL THEN 0 ELSE w[i] END)), 9) AS score FROM sg)"""
 _BANDED = "SELECT DISTINCT x.fp_id AS a, y.fp_id AS b FROM bd x JOIN bd y ON x.b = y.b AND x.v = y.v AND x.fp_id < y.fp_id"
+_TWIN = "SELECT t.id AS a, fp_id AS b FROM fp, (SELECT min(fp_id) AS id FROM fp WHERE len(minhash) = 100 GROUP BY minhash ORDER BY count(*) DESC, 1 LIMIT 1) t WHERE fp_id <> t.id"
 _ONE = "SELECT (SELECT min(fp_id) FROM fp) AS a, fp_id AS b FROM fp WHERE fp_id > (SELECT min(fp_id) FROM fp)"
 
 
@@ -488,9 +504,23 @@ def _(spark, d):
     return duplicate_groups(_fingerprints(spark, d), 0.6)[0]
 
 
-@register("m11_duplicate_summary", graph=False)
+_EQUAL = "minhash, ast_tree, list_sort(map_entries(ast_node_counts)), callees, callers, reads, writes, arg_names, arg_count, line_count, max_nesting_depth, has_loops, has_conditionals, has_try_except, has_yield, has_await"
+
+
+@register("m11_duplicate_summary", SQL["m11_duplicate_groups"].split(" SELECT id, comp AS group")[0] + f""", hd AS (SELECT fp_id, min(fp_id) OVER (PARTITION BY {_EQUAL}) AS head FROM fp WHERE len(minhash) = 100)
+SELECT c.comp AS group, count(*) FILTER (x.head = s.a AND (y.head = s.b OR y.head = s.a)) AS n_pairs, count(*) AS n_record_pairs, round(avg(s.score), 6) AS similarity
+FROM sc s JOIN cc c ON c.id = s.a JOIN hd x ON x.fp_id = s.a JOIN hd y ON y.fp_id = s.b WHERE s.score >= 0.6 GROUP BY 1""", graph=False)
 def _(spark, d):
-    return duplicate_groups(_fingerprints(spark, d), 0.6)[1]
+    return duplicate_groups(_fingerprints(spark, d), 0.6)[1].withColumn("similarity", F.round("similarity", 6))
+
+
+@register("m12_similar_to_twinned", f"WITH {_FP}, {_SCORED.replace('__CAND__', _TWIN)} SELECT a, b, score FROM sc WHERE score >= 0.5 ORDER BY score DESC, b LIMIT 10", graph=False)
+def _(spark, d):
+    """The ten fingerprints most similar to the one whose signature most others have, all being scored."""
+    fp = _fingerprints(spark, d)
+    one = fp.where(F.size("minhash") == 100).groupBy("minhash").agg(F.count("*").alias("n"), F.min("fp_id").alias("id")).orderBy(F.desc("n"), "id").first()["id"]
+    pairs = fp.where(F.col("fp_id") != one).select(F.lit(one).cast("bigint").alias("a"), F.col("fp_id").alias("b"))
+    return scored(pairs, fp, least=0.5, one=fp.where(F.col("fp_id") == one)).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "b").limit(10)
 
 
 @register("m12_similar_to", f"WITH {_FP}, {_SCORED.replace('__CAND__', _ONE)} SELECT a, b, score FROM sc WHERE score >= 0.5 ORDER BY score DESC, b LIMIT 10", graph=False)
@@ -689,7 +719,7 @@ def _(spark, d):
     return windowed_counts(table(spark, d, "events"), "ts", "1 hour", "10 minutes", "event_type")
 
 
-@register("t11_event_stream", graph=False)
+@register("t11_event_stream", SQL["t11_event_windows"], graph=False)
 def _(spark, d):
     """The same from a stream: counts are updated with every file, in whatever order of time the files come."""
     return counts_by_stream(table_stream(spark, d, "events"), "ts", "1 hour", "event_type")
