@@ -1,4 +1,4 @@
-"""Strong components: the same by rounds of all tasks and by one task, and few tables for long chains."""
+"""Strong components and layers: the same by rounds of all tasks and by one task, and few tables for long chains."""
 
 from tests_helpers import edges
 from topoweave.operators import cycles, traverse
@@ -24,11 +24,23 @@ def test_rings_one_after_another(spark, monkeypatch):
     assert len(seen) <= 4
 
 
+def test_layers_of_a_long_chain(spark, monkeypatch):
+    seen = tables(monkeypatch)
+    e = edges(spark, rings(3) + " b02>c00 " + " ".join(f"c{k:02}>c{k + 1:02}" for k in range(20)))
+    ids = e.selectExpr("explode(array(source, target, 'alone')) as id").distinct()
+    want = {"alone": 0} | {f"{x}{k:02}": k for k in range(3) for x in "ab"} | {f"c{k:02}": k + 3 for k in range(21)}
+    assert {r.id: r.layer for r in cycles.layers(e, ids).collect()} == want
+    assert len(seen) <= 8
+
+
 def test_rounds_of_all_tasks(spark):
     e = edges(spark, "a>b b>a b>c c>d d>c d>e x>x")
+    ids = e.selectExpr("explode(array(source, target)) as id").distinct()
     assert {tuple(r) for r in cycles.strong_components(e, 0).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
+    assert {(r.id, r.layer) for r in cycles.layers(e.where("source in ('b', 'd') and target in ('c', 'e')"), ids, 1).collect()} == {("a", 0), ("b", 0), ("c", 1), ("d", 0), ("e", 1), ("x", 0)}
 
 
 def test_no_steps(spark):
     e = edges(spark, "x>x")
     assert cycles.strong_components(e).collect() == []
+    assert [tuple(r) for r in cycles.layers(e, e.selectExpr("source as id")).collect()] == [("x", "x", 0)]
